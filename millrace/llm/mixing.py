@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_TIMES = 2
 BLOCK_WORDS = 128
-SHARD_WORDS = 100_000_000
+SHARD_WORDS = 20_000_000
 SEED = 7
 BROADCAST_ROWS = 1_000_000
 
@@ -122,7 +122,7 @@ def draw(docs: DataFrame, key: list[str], text: str = "text", source: str = "sou
     draws = ranked.withColumn("pass", F.explode(F.expr("if(passes + int(_more) > 0, sequence(0, passes + int(_more) - 1), array())"))).join(shares, "_source")
     steps = max(1, shards.bit_length())
     draws = draws.withColumn("_at", F.expr("pass * blocks + _rank")).withColumn("shard", F.expr(
-        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {shards - 1}), (a, x) -> if(a.lo >= a.hi, a, if(element_at(bounds, (a.lo + a.hi) div 2 + 1) <= _at, named_struct('lo', int((a.lo + a.hi) div 2 + 1), 'hi', a.hi), named_struct('lo', a.lo, 'hi', int((a.lo + a.hi) div 2)))), a -> a.lo)"))
+        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {shards - 1}), (a, x) -> if(a.lo >= a.hi, a, if(element_at(bounds, int((a.lo + a.hi) div 2) + 1) <= _at, named_struct('lo', int((a.lo + a.hi) div 2 + 1), 'hi', a.hi), named_struct('lo', a.lo, 'hi', int((a.lo + a.hi) div 2)))), a -> a.lo)"))
     return sized.select(*key, "row_id", "size", "source_size", "target"), draws.select("row_id", "block", "start_word", "words", "pass", "shard", F.xxhash64(F.lit(seed), F.lit("shuffle"), "_order", "pass").alias("shuffle_key"))
 
 

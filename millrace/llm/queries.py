@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, token_files, warc
 from ._store import table
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_mixing, op9_quality_rules)}
+def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.read_back(token_files.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op6_warc, op7_mixing, op9_quality_rules, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
