@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, near_duplicates, quality_rules, token_files, warc
+from . import decontamination, mixing, near_duplicates, quality_rules, token_files, warc
 from ._store import table
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.components_of(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_files.read_back(token_files.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op4_near_duplicates, op6_warc, op7_mixing, op9_quality_rules, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_near_duplicates, op6_warc, op7_mixing, op9_quality_rules, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
