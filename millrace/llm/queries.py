@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, near_duplicates, quality_rules, token_files, warc
+from . import _training, decontamination, mixing, near_duplicates, quality, quality_rules, token_files, toxicity, warc
 from ._store import table
 
 
+def _scored(spark: SparkSession, sf_dir: str, kind, label: str, cut: float) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), _training.held_out()
+    model = kind.train(_training.labelled(docs, table(spark, sf_dir, "labels"), label, kind.MAX_TRAIN, ~held_out))
+    return kind.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic", 0.5)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality", 0.3)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +48,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_files.read_back(token_files.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_near_duplicates, op6_warc, op7_mixing, op9_quality_rules, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontamination, op4_near_duplicates, op6_warc, op7_mixing, op9_quality_rules, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
