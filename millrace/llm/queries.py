@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import _training, decontamination, mixing, near_duplicates, quality, quality_rules, token_files, toxicity, warc
+from . import _training, decontamination, line_dedup, mixing, near_duplicates, quality, quality_rules, token_files, toxicity, warc
 from ._store import table
 
 
@@ -38,6 +38,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.copies(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_files.read_back(token_files.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontamination, op4_near_duplicates, op6_warc, op7_mixing, op9_quality_rules, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontamination, op4_near_duplicates, op6_warc, op7_mixing, op8_line_dedup, op9_quality_rules, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
