@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import _training, decontamination, line_dedup, mixing, near_duplicates, quality, quality_rules, token_files, toxicity, warc
+from . import _training, decontamination, line_dedup, mixing, near_duplicates, quality, quality_rules, sharding, token_files, toxicity, warc
 from ._store import table
 
 
@@ -30,6 +30,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.components_of(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents")).select("doc_id", "shard_file", "shard_bytes", "shard_version")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.write(table(spark, sf_dir, "pages")))
 
@@ -52,6 +56,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_files.read_back(token_files.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontamination, op4_near_duplicates, op6_warc, op7_mixing, op8_line_dedup, op9_quality_rules, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontamination, op4_near_duplicates, op5_sharding, op6_warc, op7_mixing, op8_line_dedup, op9_quality_rules, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
