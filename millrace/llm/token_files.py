@@ -1,11 +1,11 @@
 """Token-ID files of patched frame-of-reference blocks.
 
-Documents are tokenised in ascending order of their id, each with an end id, and written as files. In a file the ids are
-cut into blocks of BLOCK values. A block stores its minimum, and the values less that minimum packed at the width that
+Documents are tokenised in ascending order of their id, each with an end id, and written as files of segments, which bound
+the memory that a writer or reader needs. In a segment the ids are cut into blocks of BLOCK values. A block stores its minimum, and the values less that minimum packed at the width that
 holds PERCENTILE of them; the high bits of the others are in the block's exception list (position and value). The index
 has each block's start, so a range of ids is read without what comes before it.
 
-File: header (magic, counts and section sizes), document ids with a null mask, ids in each document, block minima, widths,
+Segment: header (magic, counts and section sizes), document ids with a null mask, ids in each document, block minima, widths,
 exception counts, block starts (in 64-bit words), packed words, exception positions and values.
 
 Texts are cut where the tokenizer always cuts (before a space that follows a letter or mark, around a single line end between such, and before a mark that
@@ -17,9 +17,11 @@ own; an empty table writes no file and gives an empty result; further columns ar
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,12 @@ from ._store import new_folder, saved
 BLOCK = 128
 PERCENTILE = 90
 END_ID = 2
-FILE_TOKENS = 4_000_000
-SLICE = 4 << 20
-KEPT_PIECES = 1_500_000
+SEGMENT_TOKENS = 1_000_000
+FILE_BYTES = 48 << 20
+KEPT_PIECES = 2_500_000
+ENCODE_AT_ONCE = 20_000
 _MAGIC = b"MRTOKPF1"
-_HEAD = struct.Struct("<8sQQQQQ")  # magic, documents, ids, blocks, words, exceptions
+_HEAD = struct.Struct("<8sQQQQQQ")  # magic, bytes of the segment, documents, ids, blocks, words, exceptions
 
 
 def _pack(v: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +66,7 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def to_bytes(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A file of documents with these ids (or None), counts[i] token ids each, in order."""
+    """A segment of documents with these ids (or None), counts[i] token ids each, in order."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     full = np.concatenate([ids.astype(np.uint64), np.full(blocks * BLOCK - n, ids[-1] if n else 0, dtype=np.uint64)]).reshape(blocks, BLOCK)
@@ -83,14 +86,26 @@ def to_bytes(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     exceptions = np.bincount(block, minlength=blocks).astype("<u1")
     known = np.array([x is not None for x in doc_ids], dtype="<u1")
     parts = [np.array([x or 0 for x in doc_ids], dtype="<i8"), known, counts.astype("<i8"), least.astype("<u4"), width, exceptions, starts[:-1].astype("<i8"), packed.astype("<u8"), position.astype("<u1"), high[block, position].astype("<u4")]
-    return _HEAD.pack(_MAGIC, len(doc_ids), n, blocks, len(packed), len(block)) + b"".join(x.tobytes() for x in parts)
+    body = b"".join(x.tobytes() for x in parts)
+    return _HEAD.pack(_MAGIC, _HEAD.size + len(body), len(doc_ids), n, blocks, len(packed), len(block)) + body
 
 
-class TokenFile:
+def segments(data: bytes) -> Iterator[Segment]:
+    """The segments of a file, in order."""
+    at = 0
+    while at < len(data):
+        size = _HEAD.unpack_from(data, at)[1]
+        if size < _HEAD.size:
+            raise ValueError("not a token file")
+        yield Segment(data[at : at + size])
+        at += size
+
+
+class Segment:
     """Reads what to_bytes wrote: doc_ids, counts, and ids by range."""
 
     def __init__(self, data: bytes):
-        magic, docs, self.n, blocks, words, exceptions = _HEAD.unpack_from(data)
+        magic, _, docs, self.n, blocks, words, exceptions = _HEAD.unpack_from(data)
         if magic != _MAGIC:
             raise ValueError("not a token file")
         at, sections = _HEAD.size, []
@@ -149,6 +164,7 @@ class Pieces:
     """Encodes each distinct piece of text once; what is kept is bounded by KEPT_PIECES and costs only time when it is dropped."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -156,15 +172,21 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.length, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), [0, 0]
-
-    def _add(self, name: str, k: int, new: np.ndarray) -> None:
-        old = getattr(self, name)
-        if self.used[k] + len(new) > len(old):
-            old = np.concatenate([old, np.zeros(max(len(old), len(new)), old.dtype)])
-            setattr(self, name, old)
-        old[self.used[k] : self.used[k] + len(new)] = new
+        self.hashes, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _encode_new(self, texts: Iterator[str]) -> np.ndarray:
+        """Appends the ids of these pieces to flat; how many each has."""
+        lengths = []
+        while some := list(islice(texts, ENCODE_AT_ONCE)):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            new = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum()))
+            if self.used + len(new) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, len(new)), np.uint32)])
+            self.flat[self.used : self.used + len(new)] = new
+            self.used += len(new)
+        return np.concatenate(lengths)
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with END_ID behind it, and how many each has."""
@@ -181,18 +203,12 @@ class Pieces:
         inside = at < len(self.hashes)
         new[inside] = self.hashes[at[inside]] != unique[inside]
         if new.any():
-            data = raw.tobytes()
-            encoded = self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            length = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-            self._add("begin", 0, self.used[1] + np.cumsum(length, dtype=np.int64) - length)
-            self._add("length", 0, length)
-            self._add("flat", 1, flat)
+            data, base = raw.tobytes(), self.used
+            length = self._encode_new(data[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True))
             self.hashes = np.insert(self.hashes, at[new], unique[new])
-            self.at = np.insert(self.at, at[new], self.used[0] + np.arange(len(ids)))
-            self.used = [self.used[0] + len(ids), self.used[1] + len(flat)]
-        which = self.at[np.searchsorted(self.hashes, unique)][inverse]
+            self.begin = np.insert(self.begin, at[new], base + np.cumsum(length, dtype=np.int64) - length)
+            self.length = np.insert(self.length, at[new], length)
+        which = np.searchsorted(self.hashes, unique)[inverse]
         length = self.length[which].astype(np.int64)
         stop = np.cumsum(length)
         ids = self.flat[np.repeat(self.begin[which] - (stop - length), length) + np.arange(stop[-1])]
@@ -207,25 +223,35 @@ def _writer(id_col: str, text: str, folder: str, tokenizer: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _pieces:
             _pieces[tokenizer] = Pieces(tokenizer)
-        part, seq, names, counts, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
-        rows = []
+        part, rows, data, totals = TaskContext.get().partitionId(), [], [], [0, 0, 0]
+        names, counts, ids, held = [], [], [], 0
 
-        def flush() -> None:
-            nonlocal seq, names, counts, ids, held
+        def end_segment() -> None:
+            nonlocal names, counts, ids, held
             if names:
-                path = write_file(folder, f"tokens-{part:06d}-{seq:06d}.bin", to_bytes(names, np.concatenate(counts), np.concatenate(ids)))
-                rows.append((part, seq, path, len(names), held))
-            seq, names, counts, ids, held = seq + 1, [], [], [], 0
-
-        for piece in slices(batches, text, SLICE):
+                data.append(to_bytes(names, np.concatenate(counts), np.concatenate(ids)))
+                totals[:] = [totals[0] + len(names), totals[1] + held, totals[2] + len(data[-1])]
+                names, counts, ids, held = [], [], [], 0
+
+        def end_file() -> None:
+            end_segment()
+            if data:
+                path = write_file(folder, f"tokens-{part:06d}-{len(rows):06d}.bin", b"".join(data))
+                rows.append((part, len(rows), path, *totals[:2]))
+                data.clear()
+                totals[:] = [0, 0, 0]
+
+        for piece in slices(batches, text):
             got, each = _pieces[tokenizer].encode(*utf8(piece.column(piece.schema.get_field_index(text))))
             names += piece.column(piece.schema.get_field_index(id_col)).to_pylist()
             counts.append(each)
             ids.append(got)
             held += len(got)
-            if held >= FILE_TOKENS:
-                flush()
-        flush()
+            if held >= SEGMENT_TOKENS:
+                end_segment()
+            if totals[2] >= FILE_BYTES:
+                end_file()
+        end_file()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "path", "n_docs", "n_ids"])
 
@@ -244,12 +270,14 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            file = TokenFile(read_file(row["path"]))
-            if (len(file.doc_ids), file.n) != (row["n_docs"], row["n_ids"]):
+            start, docs = row["start"], 0
+            for part in segments(read_file(row["path"])):
+                ids, ends = part.ids().astype("<u4"), np.cumsum(part.counts)
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip((ends - part.counts).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part.doc_ids, pa.int64()), pa.array(start + ends - part.counts), pa.array(part.counts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                start, docs = start + part.n, docs + len(part.doc_ids)
+            if (docs, start - row["start"]) != (row["n_docs"], row["n_ids"]):
                 raise ValueError(f"{row['path']} differs from its manifest")
-            ids, ends = file.ids().astype("<u4"), np.cumsum(file.counts)
-            sums = [zlib.crc32(ids[a:b]) for a, b in zip((ends - file.counts).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(row["start"] + ends - file.counts), pa.array(file.counts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
