@@ -7,11 +7,11 @@ at least 0.75, compared in whole numbers. Every link is found; equal sets are on
 2. A set can only link if 75 % of its shingles are in another set. Shingles are dealt by hash as packed blocks, where a
    task sends a shingle that several of its sets have only once, and each set learns how many of its shingles are shared.
 3. Of sets that remain, the rarest shingles that a partner must have one of (the prefix) are its tokens.
-4. Sets with a common token are joined by signature trees: nodes hold OR-combined bitmaps of shingles and size ranges, and
-   two trees are traversed together; a pair of nodes is left out if its largest possible overlap is too small, its sizes
-   are too far apart, or all of its sets are linked already. Pairs of leaves are verified on the exact sets.
-   First by three tokens of each set, then by every token whose sets are not all in one component yet. Lists of more than
-   BLOCK sets are cut into blocks, and pairs of blocks are joined.
+4. Sets that tokens connect are candidates of each other and are joined by signature trees: nodes hold OR-combined
+   bitmaps of shingles and size ranges, and two trees are traversed together; a pair of nodes is left out if its largest
+   possible overlap is too small, its sizes are too far apart, or all of its sets are linked already. Pairs of leaves are
+   verified on the exact sets. Candidates of up to BLOCK sets are one tree. More are cut into blocks: first blocks of sets
+   with a common token, then all pairs of blocks whose root nodes can hold a link between sets not linked already.
 5. Components of the links, by contraction in Spark.
 
 Hash collisions of 64-bit shingles or 128-bit set digests are the only approximation.
@@ -37,7 +37,7 @@ WORDS = 5
 PERCENT = 75
 BUCKET_SHINGLES = 1_500_000
 BROADCAST_ROWS = 2_000_000
-BLOCK = 256
+BLOCK = 512
 FANOUT = 8
 
 
@@ -265,7 +265,7 @@ def _join_group(percent: int):
 
 
 def _tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """set1, n and token, df, nth, of: each set's prefix in the order of rarity among sets, as far as other sets have its shingles."""
+    """set1, n, of, nth, df, token: each set's prefix in the order of rarity among sets, as far as other sets have its shingles."""
     grams = sets.select("set1", "n", F.explode("grams").alias("token"))
     common = saved(grams.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shingle-counts")
     chosen = grams.join(common, "token").groupBy("set1", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
@@ -273,39 +273,9 @@ def _tokens(sets: DataFrame, percent: int) -> DataFrame:
     return saved(chosen.select("set1", "n", F.size("own").alias("of"), F.posexplode("own").alias("nth", "t")).select("set1", "n", "of", "nth", "t.df", "t.token"), "tokens")
 
 
-def _links_by(lists: DataFrame, sets: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Links among the sets of each list (columns list, set1, n, label), by trees over blocks of it; across: also between blocks of different labels."""
-    size = lists.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
-    rows = saved(lists.join(size, "list"), "lists")
-    small = rows.where(F.col("size") <= BLOCK).withColumns({"block": F.lit(0).cast("long"), "other": F.lit(0).cast("long")})
-    # Long lists: rank by (label or n) in ranges of a hashed key, no window over a whole list.
-    parts = F.ceil(F.col("size") / (BLOCK // 2)).cast("long")
-    long = rows.where(F.col("size") > BLOCK).withColumn("block", F.pmod(F.xxhash64("label" if across else "set1", F.when(F.lit(across), F.pmod("set1", F.lit(1 << 20))).otherwise(F.lit(0))), parts))
-    if not across:
-        placed = small.unionByName(long.withColumn("other", F.col("block"))).withColumn("side", F.lit(0))
-    else:
-        long = saved(_blocks_by_label(long), "blocks")
-        nodes = long.groupBy("list", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high"))
-        nodes = saved(nodes, "block-nodes")
-        other = nodes.select("list", *(F.col(c).alias(f"{c}2") for c in ("block", "least", "most", "low", "high")))
-        pairs = nodes.join(other, "list").where("block <= block2").where(f"100 * most >= {percent} * least2 and 100 * most2 >= {percent} * least and not (low = high and low2 = high2 and low = low2)")
-        pairs = saved(pairs.select("list", "block", F.col("block2").alias("other")), "block-pairs")
-        first = long.join(pairs, ["list", "block"]).withColumn("side", F.when(F.col("block") == F.col("other"), 0).otherwise(1))
-        second = long.withColumnRenamed("block", "other").join(pairs.where("block < other"), ["list", "other"]).withColumn("side", F.lit(2))
-        placed = small.withColumn("side", F.lit(0)).unionByName(first).unionByName(second)
-    placed = placed.select("list", "block", "other", "side", "set1", "label").join(sets.select("set1", "grams"), "set1")
-    return placed.groupBy("list", "block", "other").applyInArrow(_join_group(percent), "a bigint, b bigint")
-
-
-def _blocks_by_label(long: DataFrame) -> DataFrame:
-    """Blocks that hold one label where a label has many sets: its sets are spread over as many blocks as it fills, small labels share blocks."""
-    per = long.groupBy("list", "label").agg(F.count("*").alias("own"))
-    sized = long.drop("block").join(saved(per, "label-sizes"), ["list", "label"])
-    parts = F.ceil(F.col("size") / (BLOCK // 2)).cast("long")
-    alone = F.xxhash64(F.lit("label"), "label", F.pmod(F.xxhash64("set1"), F.ceil(F.col("own") / BLOCK).cast("long")))
-    # labels with few sets: sizes that can link stay together
-    shared = F.xxhash64(F.lit("shared"), F.floor(F.log("n") / 0.3), F.pmod(F.xxhash64("label"), parts))
-    return sized.withColumn("block", F.when(F.col("own") > BLOCK // 4, alone).otherwise(shared)).drop("own")
+def _joined(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links by trees: each (list, block, other) is a group, of one block (side 0) or of two (sides 1 and 2)."""
+    return placed.join(sets.select("set1", "grams"), "set1").groupBy("list", "block", "other").applyInArrow(_join_group(percent), "a bigint, b bigint")
 
 
 def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -323,18 +293,47 @@ def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent
     sets = saved(sets.join(able.select("set1"), "set1", "left_semi"), "linkable-sets")
 
     tokens = _tokens(sets, percent)
-    # three tokens of each set: the rarest, the middle and the most common one of its prefix
-    three = tokens.where("nth = 0 or nth = of - 1 or nth = of div 2").select(F.xxhash64("token", F.when(F.col("nth") == F.col("of") - 1, 2).when(F.col("nth") == 0, 0).otherwise(1)).alias("list"), "set1", "n", F.col("set1").alias("label")).distinct()
-    found = saved(_links_by(three, sets, percent, across=False), "links-first")
+    first = tokens.groupBy("token").agg(F.min("set1").alias("b"))
+    near = _graph.components(tokens.join(first, "token").select(F.col("set1").alias("a"), "b"))
+    sized = near.join(near.groupBy("root").agg(F.count("*").alias("size")), "root")
+    placed = saved(sized.select(F.col("node").alias("set1"), F.col("root").alias("list"), "size"), "candidates")
+    found = saved(_joined(placed.where(F.col("size") <= BLOCK).select("list", "set1", F.col("set1").alias("label"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side")), sets, percent), "links-in-blocks")
+
+    large = saved(tokens.join(placed.where(F.col("size") > BLOCK), "set1"), "large-candidates")
+    if large.limit(1).count():
+        found = found.unionByName(_large(large, sets, percent))
+    return scan, found, unique
+
+
+def _large(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of candidates that don't fit a block: first by blocks that share a token, then by the pairs of blocks that can still have a link."""
+    # three tokens of each set: the rarest, the middle and the most common one of its prefix; long lists in blocks by a hash of the set
+    which = F.when(F.col("nth") == F.col("of") - 1, 2).when(F.col("nth") == 0, 0).otherwise(1)
+    lists = tokens.where("nth = 0 or nth = of - 1 or nth = of div 2").select(F.xxhash64("token", which).alias("list"), "set1").distinct()
+    length = lists.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
+    block = F.pmod(F.xxhash64("list", "set1"), F.ceil(F.col("length") / (BLOCK // 2)).cast("long"))
+    found = saved(_joined(lists.join(length, "list").select("list", "set1", F.col("set1").alias("label"), block.alias("block"), block.alias("other"), F.lit(0).alias("side")), sets, percent), "links-by-token")
+
     roots = _graph.components(found)
-    labelled = tokens.join(roots.withColumnRenamed("node", "set1"), "set1", "left").select("token", "set1", "n", F.coalesce("root", "set1").alias("label"))
-    labelled = saved(labelled, "tokens-labelled")
-    # tokens whose sets are not all in one component; tokens of the very same sets are one list
-    open_ = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("set1") % 1_000_000_007).alias("s1"), F.sum(F.xxhash64(F.lit(1), "set1") % 1_000_000_007).alias("s2"), F.count("*").alias("size"))
-    open_ = open_.where("low < high").groupBy("s1", "s2", "size").agg(F.min("token").alias("token")).select("token")
-    lists = labelled.join(saved(open_, "open-tokens"), "token").select(F.col("token").alias("list"), "set1", "n", "label")
-    more = saved(_links_by(lists, sets, percent, across=True), "links-more")
-    return scan, found.union(more), unique
+    labelled = saved(tokens.join(roots.withColumnRenamed("node", "set1"), "set1", "left").select("token", "list", "set1", "n", F.coalesce("root", "set1").alias("label")), "tokens-labelled")
+    open_ = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    rest = saved(labelled.join(saved(open_, "open-tokens"), "token").select("list", "set1", "n", "label").distinct(), "open-sets")
+    # Blocks: a label with many sets fills blocks of its own; sets of small labels are together by size.
+    sizes = saved(rest.groupBy("list", "label").agg(F.count("*").alias("own")), "label-sizes")
+    total = sizes.groupBy("list").agg(F.sum("own").alias("length"))
+    parts = F.ceil(F.col("length") / (BLOCK // 2)).cast("long")
+    alone = F.xxhash64(F.lit("label"), "label", F.pmod(F.xxhash64("set1"), F.ceil(F.col("own") / BLOCK).cast("long")))
+    shared = F.xxhash64(F.lit("size"), F.floor(F.log("n") / 0.1), F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), parts.cast("double") / 8).cast("long")))
+    blocks = saved(rest.join(sizes, ["list", "label"]).join(total, "list").withColumn("block", F.when(F.col("own") > BLOCK // 4, alone).otherwise(shared)).select("list", "set1", "n", "label", "block"), "blocks")
+    nodes = saved(blocks.groupBy("list", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")), "block-nodes")
+    other = nodes.select("list", F.col("block").alias("other"), *(F.col(c).alias(f"{c}2") for c in ("least", "most", "low", "high")))
+    pairs = nodes.join(other, "list").where("block <= other").where(f"100 * most >= {percent} * least2 and 100 * most2 >= {percent} * least and not (low = high and low2 = high2 and low = low2)")
+    pairs = saved(pairs.select("list", "block", "other"), "block-pairs")
+    side = F.when(F.col("block") == F.col("other"), 0).otherwise(1)
+    left = blocks.join(pairs, ["list", "block"]).withColumn("side", side)
+    right = blocks.withColumnRenamed("block", "other").join(pairs.where("block < other"), ["list", "other"]).withColumn("side", F.lit(2))
+    more = _joined(left.unionByName(right).select("list", "set1", "label", "block", "other", "side"), sets, percent)
+    return found.unionByName(saved(more, "links-by-block"))
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
