@@ -90,8 +90,8 @@ DIALECT = {
                   "SELECT p_partkey, regexp_matches(p_type, 'A.*D') AS found, nullif(regexp_extract(p_brand, '[0-9]+'), '') AS digits, regexp_replace(p_type, '[AEIOU]', '_', 'g') AS masked, len(regexp_extract_all(p_type, '[AEIOU]')) AS vowels FROM part"),
     "date_fns": (plan(_dates), "SELECT o_orderkey, CAST(d + INTERVAL 1 MONTH AS DATE) AS next_month, CAST(d - INTERVAL 10 DAY AS DATE) AS before, date_diff('month', d, DATE '1998-12-31') AS months, date_sub('day', d, DATE '1998-12-31') AS days, date_diff('year', d, DATE '1998-12-31') AS years, last_day(d) AS month_end, strftime(d, '%a') AS weekday, strftime(d, '%b') AS month, CAST(date_trunc('month', d) AS DATE) AS month_start, year(d) AS y FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)"),
     "conditional_fns": (plan(_conditions), "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'credit' ELSE 'debit' END AS side, CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0.0 END AS positive, CASE WHEN c_acctbal > 5000 THEN 'rich' ELSE '-' END AS rich, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE '?' END AS segment, CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0.0 END AS z, nullif(c_nationkey, 0) AS nz FROM customer"),
-    "numeric_fns": (plan(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.round(X.div0("l_extendedprice", F.col("l_linenumber") - 1), 4).alias("d0"), F.round(X.div0null("l_extendedprice", F.col("l_linenumber") - 1), 4).alias("dn"), X.truncate("l_quantity", -1).alias("tens"), F.ceil("l_discount").cast("long").alias("up"))),
-                    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 0.0 ELSE round(l_extendedprice / (l_linenumber - 1), 4) END AS d0, CASE WHEN l_linenumber = 1 THEN NULL ELSE round(l_extendedprice / (l_linenumber - 1), 4) END AS dn, floor(l_quantity / 10) * 10 AS tens, CAST(ceil(l_discount) AS BIGINT) AS up FROM lineitem"),
+    "numeric_fns": (plan(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", X.div0("l_extendedprice", F.col("l_linenumber") - 1).alias("d0"), X.div0null("l_extendedprice", F.col("l_linenumber") - 1).alias("dn"), X.truncate("l_quantity", -1).alias("tens"), F.ceil("l_discount").cast("long").alias("up"))),
+                    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 0.0 ELSE l_extendedprice / (l_linenumber - 1) END AS d0, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_extendedprice / (l_linenumber - 1) END AS dn, floor(l_quantity / 10) * 10 AS tens, CAST(ceil(l_discount) AS BIGINT) AS up FROM lineitem"),
     "hash_fns": (plan(lambda t: t.customer.select("c_custkey", X.sha1("c_name").alias("h1"), X.sha2("c_name").alias("h2"))), "SELECT c_custkey, sha1(c_name) AS h1, sha256(c_name) AS h2 FROM customer"),
     "try_fns": (plan(lambda t: t.events.select("event_id", X.try_to_number(X.get_path("props", "k")).alias("n"), X.try_to_number("event_type").alias("bad"), X.try_to_boolean(F.when(F.col("event_type") == "click", "yes").otherwise("maybe")).alias("b"), X.try_to_date(F.date_format("ts", "dd/MM/yyyy")).alias("d"), X.try_to_date("event_type").alias("none"))),
                 f"SELECT event_id, CAST({_NUM} AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS bad, CASE WHEN event_type = 'click' THEN true END AS b, CAST(ts AS DATE) AS d, CAST(NULL AS DATE) AS none FROM events"),

@@ -27,8 +27,8 @@ _W = "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 #: name -> (plan, SQL)
 RELATIONAL = {
     "filter_project": (plan(lambda t: t.lineitem.where((F.col("l_discount").between(0.05, 0.07)) & (F.col("l_quantity") < 24) & F.col("l_returnflag").isin("A", "R") & ~F.col("l_linestatus").like("X%"))
-                            .select("l_orderkey", "l_linenumber", _money(F.col("l_extendedprice") * F.col("l_discount")).alias("revenue"))),
-                       "SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24 AND l_returnflag IN ('A', 'R') AND l_linestatus NOT LIKE 'X%'"),
+                            .select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("l_discount")).alias("revenue"))),
+                       "SELECT l_orderkey, l_linenumber, l_extendedprice * l_discount AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24 AND l_returnflag IN ('A', 'R') AND l_linestatus NOT LIKE 'X%'"),
     "pricing_summary": (plan(_q1), "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"),
     "case_when": (plan(lambda t: t.orders.select("o_orderkey", F.when(F.col("o_totalprice") > 300000, "high").when(F.col("o_totalprice") > 100000, "mid").otherwise("low").alias("band"))),
                   "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders"),
@@ -47,8 +47,8 @@ RELATIONAL = {
                    "SELECT c_custkey, count(o_orderkey) AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') o RIGHT JOIN customer ON c_custkey = o_custkey GROUP BY c_custkey"),
     "join_full": (plan(lambda t: t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers")).join(t.customer.where("c_nationkey % 2 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers")), "k", "full")),
                   "SELECT coalesce(s.k, c.k) AS k, suppliers, customers FROM (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) c ON s.k = c.k"),
-    "join_anti": (plan(lambda t: t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")),
-                  "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "join_anti": (plan(lambda t: t.customer.join(t.orders.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")),
+                  "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "join_cross": (plan(lambda t: t.region.crossJoin(t.nation.select("n_name"))), "SELECT r_regionkey, r_name, n_name FROM region CROSS JOIN nation"),
     "join_theta": (plan(lambda t: t.nation.join(t.region, F.col("n_regionkey") < F.col("r_regionkey")).select("n_nationkey", "r_regionkey")), "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey < r_regionkey"),
     "agg_distinct": (plan(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.min("l_shipdate").alias("first"), F.max("l_quantity").alias("most"))),
@@ -78,7 +78,7 @@ RELATIONAL = {
     "set_union_all": (plan(lambda t: t.customer.select(F.col("c_nationkey").alias("k")).unionAll(t.supplier.select("s_nationkey"))), "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
     "set_intersect": (plan(lambda t: t.customer.select(F.col("c_custkey").alias("k")).intersect(t.orders.select("o_custkey"))), "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders"),
     "set_intersect_all": (plan(lambda t: t.customer.select(F.col("c_nationkey").alias("k")).intersectAll(t.supplier.select("s_nationkey"))), "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier"),
-    "set_except": (plan(lambda t: t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    "set_except": (plan(lambda t: t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.where("o_totalprice > 300000").select("o_custkey"))), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000"),
     "set_except_all": (plan(lambda t: t.customer.select(F.col("c_nationkey").alias("k")).exceptAll(t.supplier.select("s_nationkey"))), "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
     "distinct": (plan(lambda t: t.lineitem.select("l_returnflag", "l_linestatus").distinct()), "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
     "limit_offset": (plan(lambda t: t.nation.orderBy(F.col("n_name").asc_nulls_last(), "n_nationkey").offset(5).limit(10).select("n_name", "n_nationkey")), "SELECT n_name, n_nationkey FROM nation ORDER BY n_name ASC NULLS LAST, n_nationkey LIMIT 10 OFFSET 5"),

@@ -86,7 +86,7 @@ def _view(w, t, _):
 
 def _function(w, t, _):
     w.create_function("with_tax", "x DOUBLE, rate DOUBLE", "DOUBLE", "x * (1 + rate)")
-    return w.spark.sql(f"SELECT l_orderkey, l_linenumber, round(with_tax(l_extendedprice, l_tax), 2) AS total FROM {t}")
+    return w.spark.sql(f"SELECT l_orderkey, l_linenumber, with_tax(l_extendedprice, l_tax) AS total FROM {t}")
 
 
 def _dynamic(w, t, _):
@@ -113,7 +113,7 @@ STATEMENTS = {
     "copy_into": (_on("nation", _copy), "SELECT n_nationkey, n_name FROM nation"),
     "sequence": (_on("customer", _sequence), "SELECT c_custkey, 100 + 10 * (row_number() OVER (ORDER BY c_custkey) - 1) AS number FROM customer"),
     "view": (_on("customer", _view), "SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_acctbal < 9000"),
-    "sql_udf": (_on("lineitem", _function), "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 2) AS total FROM lineitem"),
+    "sql_udf": (_on("lineitem", _function), "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 + l_tax) AS total FROM lineitem"),
     "dynamic_table": (_on("customer", _dynamic), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT coalesce(c_nationkey >= 10, false) GROUP BY 1"),
     "information_schema": (_on("nation", _metadata), "SELECT * FROM (VALUES ('n_nationkey', 'NUMBER(38,0)', CAST(1 AS BIGINT)), ('n_name', 'VARCHAR(16777216)', 2), ('n_regionkey', 'NUMBER(38,0)', 3)) v(column_name, data_type, position)"),
 }
