@@ -37,7 +37,7 @@ def copy_into(warehouse: Warehouse, table: str, stage: str, file: str = "", file
     try:
         if kind == "csv" and skip_header > 1:
             # lines by their place in the file: files are read whole, one line each row, and numbered by position
-            lines = warehouse.spark.read.option("wholetext", True).option("pathGlobFilter", "*.csv").text(path).select(F.col("_metadata.file_path").alias("f"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+            lines = warehouse.spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("f"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
             lines = lines.where((F.col("n") >= skip_header) & (F.col("line") != ""))
             parsed = lines.select("f", F.from_csv("line", target.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": delimiter, "mode": "FAILFAST"}).alias("r"))
             rows, files = parsed.select("r.*"), parsed.select("f")
