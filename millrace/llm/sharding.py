@@ -123,13 +123,13 @@ class Store:
         return out
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with shard_file, shard_bytes and shard_version."""
+        """The rows of a version, with shard_file, shard_bytes and shard_version (which replace columns of these names)."""
         version = max(self.versions(), default=0) if version is None else version
         shards = self.shards(version)
         rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in shards)) if shards else self.spark.createDataFrame([], self.schema)
         if not shards:
             return rows.withColumns({"shard_file": F.lit(""), "shard_bytes": F.lit(0).cast("long"), "shard_version": F.lit(version)})
-        return rows.select("*", F.col("_metadata.file_name").alias("shard_file"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("shard_version"))
+        return rows.withColumns({"shard_file": F.col("_metadata.file_name"), "shard_bytes": F.col("_metadata.file_size"), "shard_version": F.lit(version)})
 
     def vacuum(self, keep: int = 1) -> int:
         """Removes shards that none of the newest `keep` versions names, and older manifests; how many shards went."""
