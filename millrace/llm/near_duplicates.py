@@ -36,6 +36,7 @@ from ._store import saved, small_side
 WORDS = 5
 PERCENT = 75
 BUCKET_SHINGLES = 1_500_000
+PART_SETS = 20_000
 BROADCAST_ROWS = 2_000_000
 BLOCK = 512
 FANOUT = 8
@@ -111,7 +112,28 @@ def _postings(n_words: int, buckets: int):
     return run
 
 
-def _shared(group: pa.Table) -> pa.Table:
+def _shared(parts: int):
+    """Sums a bucket's rows to rows of part, sets and counts (packed): which sets have how many shared shingles there, dealt by set to `parts` parts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, counts = _shared_counts(group)
+        part = (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, keys, counts = part[order], keys[order], counts[order]
+        cut = np.flatnonzero(np.diff(part)) + 1
+        spans = [x for x in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True) if x[0] < x[1]]
+        return pa.table({"part": pa.array([int(part[a]) for a, _ in spans], pa.int32()), "sets": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())})
+
+    return run
+
+
+def _sums(group: pa.Table) -> pa.Table:
+    keys, inverse = np.unique(np.frombuffer(b"".join(group["sets"].to_pylist()), np.int64), return_inverse=True)
+    counts = np.bincount(inverse, weights=np.frombuffer(b"".join(group["counts"].to_pylist()), np.int64)).astype(np.int64)
+    return pa.table({"set1": pa.array(keys, pa.int64()), "shared": pa.array(counts, pa.int64())})
+
+
+def _shared_counts(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     h = np.frombuffer(b"".join(group["shingles"].to_pylist()), np.uint64)
     d = np.frombuffer(b"".join(group["sets"].to_pylist()), np.int64)
     if group["bucket"][0].as_py() < 0:
@@ -133,7 +155,7 @@ def _shared(group: pa.Table) -> pa.Table:
         several = np.add.reduceat((d == 0).astype(np.int64), heads) + number >= 2 if len(heads) else np.zeros(0, bool)
         own = np.repeat(several, number) & (d != 0)
         keys, counts = np.unique(d[own], return_counts=True)
-    return pa.table({"set1": pa.array(keys, pa.int64()), "shared": pa.array(counts, pa.int64())})
+    return keys, counts.astype(np.int64)
 
 
 def _sets(n_words: int):
@@ -283,10 +305,10 @@ def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     scan = saved(rows.mapInArrow(_scan(n_words), "id bigint, n bigint, set1 bigint, set2 bigint"), "shingle-scan")
     unique = saved(scan.where("n > 0").groupBy("set1", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "shingle-sets")
-    total = unique.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, round(total / BUCKET_SHINGLES))
-    shared = rows.mapInArrow(_postings(n_words, buckets), "bucket int, shingles binary, sets binary").groupBy("bucket").applyInArrow(_shared, "set1 bigint, shared bigint")
-    able = saved(shared.groupBy("set1").agg(F.sum("shared").alias("shared")).join(unique, "set1").where(f"100 * shared >= {percent} * n").select("set1", "rep"), "linkable")
+    total, n_sets = unique.agg(F.sum("n"), F.count("*")).first()
+    buckets = max(1, round((total or 0) / BUCKET_SHINGLES))
+    shared = rows.mapInArrow(_postings(n_words, buckets), "bucket int, shingles binary, sets binary").groupBy("bucket").applyInArrow(_shared(max(1, n_sets // PART_SETS)), "part int, sets binary, counts binary")
+    able = saved(shared.groupBy("part").applyInArrow(_sums, "set1 bigint, shared bigint").join(unique, "set1").where(f"100 * shared >= {percent} * n").select("set1", "rep"), "linkable")
     able = small_side(able, BROADCAST_ROWS)
     texts = rows.join(able.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     sets = texts.mapInArrow(_sets(n_words), "set1 bigint, n bigint, grams array<bigint>").dropDuplicates(["set1"])
