@@ -84,17 +84,21 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for x in (mean(length) / 10, np.sqrt(np.maximum(0, mean(length**2) - mean(length) ** 2)) / 10, distinct / n_words, mean(before), mean(capital), mean(all_caps), np.log1p(n_words), mean(length == 1)):
         out[row, k] = x
         k += 1
+    if len(raw) < 3:
+        return out, first
     low = lower_ascii(raw).astype(np.uint32)
     g = low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)
     g ^= g >> np.uint32(15)
     g *= np.uint32(0x2C1B3C6D)
     sign = np.where(g >> np.uint32(31), 1.0, -1.0).astype(np.float32)
+    for k in (1, 2):  # 3-grams that would run on into the next text
+        sign[np.clip(off[1:-1] - k, 0, max(0, len(sign) - 1))] = 0
     bucket = ((g >> np.uint32(20)) % np.uint32(GRAM_BUCKETS)).astype(np.int64)
     place = np.repeat(np.arange(len(heads)), np.diff(np.append(a, len(raw))))
     place = place[: max(0, len(g) - int(a[0]))]
     at = int(a[0])
     sums = np.bincount(place * GRAM_BUCKETS + bucket[at : at + len(place)], weights=sign[at : at + len(place)], minlength=len(heads) * GRAM_BUCKETS).reshape(-1, GRAM_BUCKETS)
-    out[row, k:] = sums / np.sqrt(size)[:, None]
+    out[row, N_FEATURES - GRAM_BUCKETS :] = sums / np.sqrt(size)[:, None]
     return out, first
 
 
@@ -112,7 +116,8 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         x, first = passages(column)
-        return self.attention(x, first)[0] if self.weights is not None else np.full(len(column), self.share)
+        # rounded, as the last digits of a matrix product depend on the rows beside
+        return self.attention(x, first)[0].round(9) if self.weights is not None else np.full(len(column), self.share)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
