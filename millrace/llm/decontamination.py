@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from ._arrow import mix, runs, slices, span_hashes, utf8
 from ._store import saved, small_side
 
-MASKS = ("1111111", "1101101011", "11100101011", "1010110010111")
+#: Together they hit every placing of one to three substitutions in 15 words that leaves an overlap, and one in every five or more words.
+MASKS = ("111111", "11101101", "1111011", "110100100111")
 MATCHES = 12
 MATCH_SHARE = 0.8
 LEAST_TOKENS = 5
@@ -117,7 +118,7 @@ class Index:
             total = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
             gain = total - np.minimum.accumulate(total)
             stop = int(gain.argmax())
-            start = stop - int(np.argmin(total[stop::-1]))
+            start = int(total[: stop + 1].argmin())
             matched = int(same[start:stop].sum())
             if matched >= min(MATCHES, int(np.ceil(MATCH_SHARE * len(own)))) and (t, i) not in best or (t, i) in best and matched > best[t, i][-1]:
                 best[t, i] = (int(a - off[t]) + start, int(a - s) + start, stop - start, matched)
