@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _training, decontamination, line_dedup, mixing, near_duplicates, quality, quality_rules, sharding, token_files, toxicity, warc
 from ._store import table
+from .oracles import ORACLES
 
 
 def _scored(spark: SparkSession, sf_dir: str, kind, label: str, cut: float) -> DataFrame:
@@ -58,4 +59,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontamination, op4_near_duplicates, op5_sharding, op6_warc, op7_mixing, op8_line_dedup, op9_quality_rules, op10_token_files)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
