@@ -143,6 +143,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(ok, pa.bool_())).select(["h", "partner"])
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled: it grows with the lines, so it is not to be broadcast even where it is small."""
+    return df.hint("merge")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each line that an earlier one is a copy of: doc_id, line_no (from 0), first_doc_id, first_line_no (the earliest copy), edits (0 or 1)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -150,9 +155,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     place = F.struct("id", "line")
     unique = saved(lines.groupBy("h", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("halves").alias("halves")), "unique-lines")
 
-    half = unique.where(f"n >= {LEAST_WORDS}").select("h", "n", "first", F.explode("halves").alias("half"))
+    half = unique.where(f"n >= {LEAST_WORDS}").select("h", F.explode("halves").alias("half"))
     common = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
-    able = saved(half.join(saved(common, "common-halves"), "half", "left_semi").select("h", "first").distinct(), "lines-with-partners")
+    partners = half.join(_shuffled(saved(common, "common-halves")), "half", "left_semi").select("h").distinct()
+    able = saved(unique.select("h", "first").join(_shuffled(saved(partners, "partners")), "h", "left_semi"), "lines-with-partners")
     owners = small_side(saved(able.select(F.col("first.id").alias("id")).distinct(), "owners"), BROADCAST_ROWS)
     texts = rows.join(owners.withColumnRenamed("id", "owner"), F.col("id").eqNullSafe(F.col("owner")), "left_semi")
     worded = texts.mapInArrow(_words, "h bigint, words array<bigint>").join(small_side(able, BROADCAST_ROWS), "h").groupBy("h").agg(F.any_value("words").alias("words"), F.min("first").alias("first"))
@@ -162,14 +168,14 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     who = F.struct("first", "h")
     whole, partial = F.when(F.col("at") < 0, who), F.when(F.col("at") >= 0, who)
     by_key = saved(keys.groupBy("key").agg(F.min(whole).alias("whole"), F.min(partial).alias("part"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared-keys")
-    shared = keys.join(by_key, "key")
+    shared = keys.join(_shuffled(by_key), "key")
     by_place = saved(shared.where("at >= 0").groupBy("key", "at").agg(F.min(who).alias("same"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared-places")
-    pairs = shared.select("h", F.when(F.col("at") < 0, F.col("part")).otherwise(F.col("whole")).alias("p")).unionByName(shared.join(by_place, ["key", "at"]).select("h", F.col("same").alias("p")))
+    pairs = shared.select("h", F.when(F.col("at") < 0, F.col("part")).otherwise(F.col("whole")).alias("p")).unionByName(shared.join(_shuffled(by_place), ["key", "at"]).select("h", F.col("same").alias("p")))
     pairs = saved(pairs.where("p is not null and p.h <> h").groupBy("h").agg(F.min("p").alias("partner")), "line-pairs")
     words = worded.select("h", "words")
     tested = pairs.join(words, "h").join(words.select(F.col("h").alias("h2"), F.col("words").alias("words2")), F.col("partner.h") == F.col("h2"))
     near = saved(tested.select("h", "partner", "words", "words2").mapInArrow(_verified, "h bigint, partner struct<first:struct<id:bigint,line:bigint>,h:bigint>").select("h", F.col("partner.first").alias("near")), "near-lines")
 
     kept = saved(unique.join(near, "h", "left").select("h", "first", "copies", "near").where("copies > 1 or near < first"), "copied-lines")
-    found = lines.select("id", "line", "h").join(kept, "h").withColumn("keep", F.least("first", "near"))
+    found = lines.select("id", "line", "h").join(_shuffled(kept), "h").withColumn("keep", F.least("first", "near"))
     return found.where(place > F.col("keep")).select(F.col("id").alias("doc_id"), F.col("line").alias("line_no"), F.col("keep.id").alias("first_doc_id"), F.col("keep.line").alias("first_line_no"), F.when(F.col("keep") == F.col("first"), 0).otherwise(1).alias("edits"))
