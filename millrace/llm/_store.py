@@ -18,8 +18,21 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{work_root(spark)}/millrace/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_folders(spark: SparkSession) -> int:
+    """Removes every folder that this process has made here, once no result that reads them is needed; how many."""
+    n, conf = 0, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
