@@ -6,6 +6,7 @@ from .arrays import (array_append, array_cat, array_construct, array_construct_c
 from .conditional import decode, div0, div0null, iff, ifnull, nullifzero, nvl, nvl2, trunc_number, truncate, zeroifnull
 from .dates import dateadd, datediff, dayname, last_day, monthname, to_date, to_timestamp, try_to_date
 from .objects import get, get_path, object_construct, object_construct_keep_null, object_delete, object_insert, object_keys, object_pick
+from .sql import register
 from .strings import (charindex, contains, endswith, lpad, regexp_count, regexp_like, regexp_replace, regexp_substr, reverse, rpad, sha1, sha2, split, startswith, strtok,
                       strtok_to_array, translate, try_to_boolean, try_to_number)
 from .values import (canonical, is_array, is_boolean, is_decimal, is_integer, is_null_value, is_object, json_value, parse_json, to_array, to_json, to_object, to_variant,

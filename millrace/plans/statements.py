@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import register
 from ..sources import copy_into, create_stage
 from ..warehouse import Warehouse
 
@@ -100,6 +101,25 @@ def _metadata(w, t, _):
     return w.spark.sql(f"SELECT column_name, data_type, CAST(ordinal_position AS BIGINT) AS position FROM information_schema_columns WHERE table_name = '{t}'")
 
 
+def _context(w, t, _):
+    w.use(schema="RAW")
+    return w.table(t).select("r_regionkey", *w.context_columns().values())
+
+
+def _describe(w, t, _):
+    return w.describe(t).select("name", "type", "kind")
+
+
+def _show(w, t, _):
+    w.create_view("small", f"SELECT * FROM {t} WHERE n_nationkey < 3")
+    return w.show_tables().select("name", "database_name", "schema_name", "kind")
+
+
+def _sql_functions(w, t, _):
+    register(w.spark)
+    return w.spark.sql(f"SELECT event_id, get_path(props, 'k') AS k, object_keys(props) AS keys, is_object(props) AS o, div0(value, event_id % 3) AS d, strtok(event_type, 'ae', 1) AS s, array_cat(to_array(props), '[1]') AS a FROM {t}")
+
+
 #: name -> (plan, SQL)
 STATEMENTS = {
     "dml_update": (_on("customer", _update), "SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey < 5 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
@@ -116,4 +136,8 @@ STATEMENTS = {
     "sql_udf": (_on("lineitem", _function), "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 + l_tax) AS total FROM lineitem"),
     "dynamic_table": (_on("customer", _dynamic), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT coalesce(c_nationkey >= 10, false) GROUP BY 1"),
     "information_schema": (_on("nation", _metadata), "SELECT * FROM (VALUES ('n_nationkey', 'NUMBER(38,0)', CAST(1 AS BIGINT)), ('n_name', 'VARCHAR(16777216)', 2), ('n_regionkey', 'NUMBER(38,0)', 3)) v(column_name, data_type, position)"),
+    "context_fns": (_on("region", _context), "SELECT r_regionkey, 'EMULATOR_USER' AS \"current_user\", 'ACCOUNTADMIN' AS \"current_role\", 'EMULATOR_DB' AS \"current_database\", 'RAW' AS \"current_schema\", 'EMULATOR_WH' AS \"current_warehouse\" FROM region"),
+    "describe": (_on("nation", _describe), "SELECT * FROM (VALUES ('n_nationkey', 'NUMBER(38,0)', 'COLUMN'), ('n_name', 'VARCHAR(16777216)', 'COLUMN'), ('n_regionkey', 'NUMBER(38,0)', 'COLUMN')) v(name, type, kind)"),
+    "show_tables": (_on("nation", _show), "SELECT * FROM (VALUES ('t_nation', 'EMULATOR_DB', 'PUBLIC', 'TABLE'), ('small', 'EMULATOR_DB', 'PUBLIC', 'VIEW')) v(name, database_name, schema_name, kind)"),
+    "sql_functions": (_on("events", _sql_functions), "SELECT event_id, json_extract_string(props, '$.k') AS k, '[\"k\"]' AS keys, true AS o, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value / (event_id % 3) END AS d, list_filter(regexp_split_to_array(event_type, '[ae]'), lambda x: x <> '')[1] AS s, '[' || replace(props, ' ', '') || ',1]' AS a FROM events"),
 }

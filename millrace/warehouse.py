@@ -295,6 +295,11 @@ class Warehouse:
         if schema:
             self.context.schema = schema
 
+    def context_columns(self) -> dict[str, Column]:
+        """current_user, current_role, current_database, current_schema and current_warehouse, to be put into a select."""
+        c = self.context
+        return {f"current_{n}": F.lit(getattr(c, n)).alias(f"current_{n}") for n in ("user", "role", "database", "schema", "warehouse")}
+
     def create_function(self, name: str, parameters: str, returns: str, body: str) -> None:
         """An SQL function, which Spark inlines into the plans that use it."""
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}")

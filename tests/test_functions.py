@@ -92,3 +92,17 @@ def test_windows(spark):
 def test_unknown_date_part():
     with pytest.raises(ValueError):
         X.dateadd("fortnight", 1, "d")
+
+
+def test_sql_functions_agree_with_columns(spark):
+    X.register(spark)
+    rows = spark.createDataFrame([("[1, 2, [3]]",), ('{"b": 1, "a": {"c": [5]}}',), ("x",), ("",), (None,), ("2.5",), ("null",)], "s string")
+    rows.createOrReplaceTempView("json_rows")
+    pairs = {
+        "is_array(s)": X.is_array("s"), "is_object(s)": X.is_object("s"), "is_integer(s)": X.is_integer("s"), "is_decimal(s)": X.is_decimal("s"), "is_null_value(s)": X.is_null_value("s"), "json_typeof(s)": X.typeof("s"),
+        "get_path(s, 'a.c[0]')": X.get_path("s", "a.c[0]"), "get_path(s, 'a.c.0')": X.get_path("s", "a.c.0"), "object_keys(s)": X.object_keys("s"), "json_array_size(s)": X.array_size("s"), "flatten_array(s, 1)": X.flatten_array("s", 1),
+        "array_cat(s, '[9]')": X.array_cat("s", L("[9]")), "array_slice(s, 1, 3)": X.array_slice("s", 1, 3), "json_array_append(s, '7')": X.array_append("s", L("7")), "json_array_position('2', s)": X.array_position(L("2"), "s"),
+        "to_array(s)": X.to_array("s"), "to_object(s)": X.to_object("s"), "to_variant(s)": X.to_variant("s"), "strtok_to_array(s, ', ')": X.strtok_to_array("s", ", "), "try_to_boolean(s)": X.try_to_boolean(F.when(F.col("s") != "2.5", F.col("s"))),
+    }
+    got = spark.sql("SELECT " + ", ".join(pairs) + " FROM json_rows").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in rows.select(*pairs.values()).collect()]
