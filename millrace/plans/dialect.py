@@ -19,7 +19,12 @@ def _baskets(t):
 
 
 _BASKETS = "(SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey)"
-_EVENTS = W.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def _by_user():
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 _NUM = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
@@ -53,9 +58,9 @@ DIALECT = {
                           "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY o_totalprice > 2 * avg(o_totalprice) OVER (PARTITION BY o_custkey)"),
     "ratio_to_report": (plan(lambda t: t.orders.select("o_orderkey", F.round(X.ratio_to_report("o_totalprice", W.partitionBy("o_custkey")), 6).alias("share"))),
                         "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders"),
-    "cond_true_event": (plan(lambda t: t.events.select("event_id", X.conditional_true_event(F.col("event_type") == "click", _EVENTS).alias("n"))),
+    "cond_true_event": (plan(lambda t: t.events.select("event_id", X.conditional_true_event(F.col("event_type") == "click", _by_user()).alias("n"))),
                         "SELECT event_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n FROM events"),
-    "cond_change_event": (plan(lambda t: t.events.select("event_id", X.conditional_change_event("event_type", _EVENTS).alias("n"))),
+    "cond_change_event": (plan(lambda t: t.events.select("event_id", X.conditional_change_event("event_type", _by_user()).alias("n"))),
                           "SELECT event_id, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n FROM (SELECT *, CASE WHEN row_number() OVER w > 1 AND event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"),
     "pivot_status": (plan(lambda t: O.pivot(t.orders, ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], "count", "o_orderkey")),
                      "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY 1"),
