@@ -7,8 +7,8 @@ The reader takes the dictionary from the leading frame, decodes one frame at a t
 line, required headers, the block's length and the end of the frame, and that a response's block has the digest that its
 header states. A record that fails raises ArchiveError with the archive and the offset.
 
-The dictionary is trained on payloads of TRAIN_RECORDS pages at most, the ones with the smallest hashes, and is part of
-every archive, so archives stand alone.
+The dictionary is trained on the payloads of about TRAIN_RECORDS pages (a hash of the id picks them evenly) of TRAIN_BYTES at
+most, and is part of every archive, so archives stand alone.
 
 Defined cases: a null payload is empty; a null url leaves WARC-Target-URI out; line ends in a url are percent-encoded;
 records with a null id are never the response of others if an id is known; an empty table writes no archive and gives an
@@ -167,7 +167,11 @@ def write(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     rows = rows.withColumns({"hex": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
-    sample = rows.where(F.col("size").between(1, TRAIN_BYTES)).select("id", "html").orderBy(F.xxhash64("id"), "id").limit(TRAIN_RECORDS).collect()
+    able = rows.where(F.col("size").between(1, TRAIN_BYTES))
+    n = able.count()
+    if n > TRAIN_RECORDS:
+        able = able.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int((1 << 31) * (TRAIN_RECORDS / n)))
+    sample = able.select("html").limit(2 * TRAIN_RECORDS).collect()
     dictionary = train([r.html.encode() for r in sample])
     first = rows.groupBy("hex").agg(F.max("id").alias("top"), F.count("*").alias("copies")).where("copies > 1").select("hex", "top")
     linked = rows.join(first, "hex", "left").withColumns({"revisit": F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))})
