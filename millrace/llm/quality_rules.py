@@ -4,9 +4,12 @@ Each document gets the base figures of its own text. Its lines are normalised (l
 space, digits as 0) and hashed; for each host (source) the number of distinct documents with the line is counted. Lines
 above the host's limit are removed, and documents of which too little is left are rejected.
 
-Copies would make any text look like boilerplate, so distinct documents are told apart by the smallest hash of their
-5-word windows: exact and near copies nearly always share it and count once, while unrelated documents with a common
-line differ in it.
+Copies would make any text look like boilerplate, so copies count once. Lines are first counted over distinct texts. Where
+that puts a line above the limit, the texts that have it are told apart by what they have besides common lines: the
+smallest hash of the 5-word windows of their rare lines. A template's pages with text of their own so count one by one,
+however much of a page the template fills. A rare line that is a common one but for a few words (they share one of its
+few smallest window hashes, or a half) is not text of its own. Texts without text of their own are told apart by the
+smallest window hash of the whole text, which exact and near copies nearly always share.
 
 Defined cases: null or empty text has no words, so it fails the base rule; a null source is a host of its own; rows that
 repeat get the same verdict; an empty table gives an empty result; further columns are ignored by rate() and kept by
@@ -25,6 +28,9 @@ MAX_SHARE = 0.08
 MIN_DOCUMENTS = 10
 #: A document is rejected if less than this share of its words is left.
 MIN_LEFT = 0.2
+#: Window hashes of a line that tell its near copies; its halves do too from HALVED_WORDS words on.
+MARKS = 4
+HALVED_WORDS = 8
 BROADCAST_ROWS = 1_000_000
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -64,23 +70,56 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).drop("_words", "_rows", "_sorted", "_repeated")
 
 
-def _removals(rated: DataFrame, max_share: float, min_documents: int) -> DataFrame:
+def _windows(texts: DataFrame) -> DataFrame:
+    """Each line of texts: _k1, _k2, _host, h, _least (its smallest 5-word window hash) and _marks (hashes it shares with near copies of itself)."""
+    df = texts.withColumn("_l", F.explode(F.expr(f"filter(split(_text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')")))
+    df = df.withColumn("_n", F.expr(_normal("_l"))).withColumns({"h": F.xxhash64("_n"), "_w": F.expr("filter(split(_n, ' '), w -> w <> '')")})
+    window = ", ".join(f"element_at(_w, i + {k})" for k in range(5))
+    df = df.withColumn("_hashes", F.expr(f"if(size(_w) < 5, array(xxhash64(array_join(_w, ' '))), slice(sort_array(transform(sequence(1, size(_w) - 4), i -> xxhash64({window}))), 1, {MARKS}))"))
+    halves = "transform(array(0, 1), k -> xxhash64(k, array_join(if(k = 0, slice(_w, 1, size(_w) div 2), slice(_w, -(size(_w) div 2), size(_w) div 2)), ' ')))"
+    return df.select("_k1", "_k2", "_host", "h", F.element_at("_hashes", 1).alias("_least"), F.expr(f"if(size(_w) < {HALVED_WORDS}, _hashes, concat(_hashes, {halves}))").alias("_marks"))
+
+
+def _own(texts: DataFrame, common: DataFrame) -> DataFrame:
+    """_k1, _k2 and _own, which tells texts apart by what they have besides common lines; null if that is nothing."""
+    lines = saved(_windows(texts).join(small_side(common, BROADCAST_ROWS), ["_host", "h"], "left"), "quality-windows")
+    rare = lines.where("over is null").select("_k1", "_k2", "_host", "h", "_least", F.explode("_marks").alias("_mark"))
+    marks = saved(lines.where("over is not null").groupBy("_host", "h").agg(F.first("_marks").alias("_marks")).select("_host", F.explode("_marks").alias("_mark")).distinct(), "quality-marks")
+    rare = rare.join(small_side(marks.withColumn("_near", F.lit(True)), BROADCAST_ROWS), ["_host", "_mark"], "left")
+    rare = rare.groupBy("_k1", "_k2", "h").agg(F.max("_near").alias("_near"), F.first("_least").alias("_least")).where("_near is null").groupBy("_k1", "_k2").agg(F.min("_least").alias("_rare"))
+    # without a rare line, lines that are common but below the limit
+    below = lines.where("not over").groupBy("_k1", "_k2").agg(F.xxhash64(F.sort_array(F.collect_set("h"))).alias("_below"))
+    return rare.join(below, ["_k1", "_k2"], "full").select("_k1", "_k2", F.coalesce("_rare", "_below").alias("_own"))
+
+
+def _removals(rated: DataFrame, docs: DataFrame, max_share: float, min_documents: int) -> DataFrame:
     """_k1, _k2, _removed (hashes of the lines above their host's limit) and _gone (their words), for texts that have such lines."""
     unique = rated.groupBy("_k1", "_k2").agg(F.first(F.struct("_host", "_key", "_lines")).alias("d")).select("_k1", "_k2", "d.*")
     lines = unique.select("_k1", "_k2", "_host", "_key", F.explode("_lines").alias("l")).select("_k1", "_k2", "_host", "_key", "l.h", "l.w")
-    hosts = unique.groupBy("_host", "_key").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("documents"))
+    counts = unique.select("_host", F.explode(F.expr("array_distinct(transform(_lines, l -> l.h))")).alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n"))
+    # a host has at least as many distinct documents as smallest hashes, so no line outside these is above the limit
+    least = unique.groupBy("_host", "_key").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("documents"))
+    common = saved(counts.where(F.col("n") >= min_documents).join(least, "_host").select("_host", "h", (F.col("n") > F.col("documents") * max_share).alias("over")), "quality-common")
+    over = small_side(common.where("over").select("_host", "h"), BROADCAST_ROWS)
+    held = saved(lines.join(over, ["_host", "h"]), "quality-held")
+    named = saved(held.select("_k1", "_k2").distinct(), "quality-named")
+    texts = docs.join(small_side(named, BROADCAST_ROWS), ["_k1", "_k2"], "left_semi").select("_k1", "_k2", "_host", "_text").dropDuplicates(["_k1", "_k2"])
+    own = small_side(saved(_own(texts, common), "quality-own"), BROADCAST_ROWS)
+
+    hosts = unique.select("_k1", "_k2", "_host", "_key").join(own, ["_k1", "_k2"], "left").groupBy("_host", "_key", "_own").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("documents"))
     heavy = (
-        lines.groupBy("_host", "h", "_key").agg(F.lit(1).alias("one"))
+        held.join(own, ["_k1", "_k2"], "left").groupBy("_host", "h", "_key", "_own").agg(F.lit(1).alias("one"))
         .groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
         .join(hosts, "_host").where(F.col("n") > F.col("documents") * max_share).select("_host", "h")
     )
-    return lines.join(heavy, ["_host", "h"]).groupBy("_k1", "_k2").agg(F.collect_set("h").alias("_removed"), F.sum("w").alias("_gone"))
+    return held.join(small_side(saved(heavy, "quality-heavy"), BROADCAST_ROWS), ["_host", "h"]).groupBy("_k1", "_k2").agg(F.collect_set("h").alias("_removed"), F.sum("w").alias("_gone"))
 
 
 def _rated(docs: DataFrame, text: str, host: str, keep: list[str], max_share: float, min_documents: int) -> tuple[DataFrame, DataFrame]:
-    rated = saved(figures(_keyed(docs.select(*keep, text, host) if keep else docs.select(text, host), text, host), text)
+    keyed = _keyed(docs.select(*keep, text, host), text, host)
+    rated = saved(figures(keyed, text)
                   .select(*keep, "_k1", "_k2", "_host", "_key", "_lines", *FIGURES, "base_failed"), "quality-figures")
-    return rated, saved(_removals(rated, max_share, min_documents), "quality-removals")
+    return rated, saved(_removals(rated, keyed, max_share, min_documents), "quality-removals")
 
 
 def rate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", max_share: float = MAX_SHARE,

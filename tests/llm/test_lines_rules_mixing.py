@@ -144,6 +144,18 @@ def test_copies_are_no_boilerplate(make):
     assert all(r.kept for r in qr.rate(make(rows)).collect())
 
 
+@pytest.mark.parametrize(("n", "templated", "share"), [(300, 150, 0.95), (300, 75, 0.86), (400, 120, 0.9)])
+def test_template_pages_with_text_of_their_own_count_one_by_one(make, n, templated, share):
+    rng, size = random.Random(n + templated), 240
+    template = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(12)) for _ in range(int(size * share) // 12)]
+    text = lambda k: " ".join(f"w{chr(97 + rng.randrange(26))}{rng.randrange(10**6):x}" for _ in range(k))
+    rows = [(i, "\n".join([*template, text(size - 12 * len(template))]) if i < templated else text(size), "a") for i in range(n)]
+    rows += [(n + i, rows[i][1], "a") for i in range(5)]
+    got = {r.doc_id: r for r in qr.rate(make(rows)).collect()}
+    assert all(got[i].removed_words == 12 * len(template) for i, *_ in rows if i < templated or i >= n)
+    assert {i for i in got if got[i].kept} == set(range(templated, n))
+
+
 def test_rules_of_odd_and_empty_tables(odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text", "source").collect()]
     assert sorted(map(tuple, qr.rate(odd).collect()), key=str) == brute_rules(rows, qr.MAX_SHARE, qr.MIN_DOCUMENTS, qr.MIN_LEFT)
