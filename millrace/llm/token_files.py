@@ -9,7 +9,8 @@ Segment: header (magic, counts and section sizes), document ids with a null mask
 exception counts, block starts (in 64-bit words), packed words, exception positions and values.
 
 Texts are cut where the tokenizer always cuts (before a space that follows a letter or mark, around a single line end between such, and before a mark that
-follows a letter), each distinct piece is encoded once with the tokenizer and kept for the worker's later batches.
+follows a letter), each distinct piece is encoded once with the tokenizer and kept for the worker's later batches. Texts with
+one of the tokenizer's added tokens, which a cut could part, are encoded whole.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first; rows that repeat are documents of their
 own; an empty table writes no file and gives an empty result; further columns are ignored.
@@ -168,7 +169,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.forget()
 
     def forget(self) -> None:
@@ -188,8 +189,39 @@ class Pieces:
             self.used += len(new)
         return np.concatenate(lengths)
 
+    def _with_added(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The texts that have an added token."""
+        data, found = raw.tobytes(), set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                doc = int(np.searchsorted(off, at, side="right")) - 1
+                inside = at + len(token) <= off[doc + 1]
+                if inside:
+                    found.add(doc)
+                at = data.find(token, int(off[doc + 1]) if inside else at + 1)
+        return np.array(sorted(found), dtype=np.int64)
+
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with END_ID behind it, and how many each has."""
+        off = off - off[0]
+        whole = self._with_added(raw, off)
+        if not len(whole):
+            return self._encode_cut(raw, off)
+        size = np.diff(off)
+        other = np.ones(len(size), dtype=bool)
+        other[whole] = False
+        ids, counts = self._encode_cut(raw[np.repeat(other, size)], np.concatenate(([0], np.cumsum(np.where(other, size, 0)))))
+        parts, at = [], 0
+        ends = np.cumsum(counts)
+        for k in whole.tolist():
+            text = raw[off[k] : off[k + 1]].tobytes().decode()
+            own = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], dtype=np.uint32)
+            parts += [ids[at : ends[k] - 1], own]
+            at, counts[k] = ends[k], len(own)
+        return np.concatenate([*parts, ids[at:]]), counts
+
+    def _encode_cut(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         docs = len(off) - 1
         if not len(raw):
             return np.full(docs, END_ID, np.uint32), np.ones(docs, np.int64)

@@ -58,6 +58,18 @@ def test_pieces_encode_as_the_whole_text(texts):
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_added_tokens_are_encoded_as_the_library_does(make):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a text <|endoftext|> more", "", "plain text", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n<|endoftext|>", "ends with <|endof", "text|> begins", "some <|endoftext| text"]
+    want = [plain.encode(t, add_special_tokens=False).ids + [tf.END_ID] for t in texts]
+    assert any(50256 in x for x in want)
+    ids, counts = PIECES.encode(*utf8(pa.array(texts, pa.large_string())))
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    got = {r.doc_id: r for r in tf.read_back(tf.write(make([(k, t, "s") for k, t in enumerate(texts)]), PATH)).collect()}
+    for k, x in enumerate(want):
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (sum(map(len, want[:k])), len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes()))
+
+
 def expected_tokens(rows):
     at, out = 0, []
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
