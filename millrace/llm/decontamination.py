@@ -3,7 +3,8 @@
 A mask is a fixed pattern over consecutive token positions; its hash uses the positions marked 1 and ignores the others, so
 a word put in place of another at an ignored position leaves the hash as it is. Hashes of all masks over the benchmark
 items are joined with those over the documents; around each hit the item is laid over the document and compared token by
-token, and the segment that scores best (1 a match, -3 a difference: three matches in four at least) is the overlap.
+token, and the segment that scores best (1 a match, -3 a difference) is the overlap. If that has too few equal tokens, the
+segment with the most equal tokens of those with three matches in four at least is.
 A document is contaminated by an item if an overlap has MATCHES equal tokens, or MATCH_SHARE of the tokens of a shorter item.
 
 Tokens are runs of letters and digits, lower case; punctuation and white space part them.
@@ -29,8 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 from ._arrow import mix, runs, slices, span_hashes, utf8
 from ._store import saved, small_side
 
-#: Together they hit every placing of one to three substitutions in 15 words that leaves an overlap, and one in every five or more words.
+#: MASKS are for every item, SHORT_MASKS for those of SHORT_TOKENS at most, LEAST_MASKS for those of LEAST_TOKENS. Together they hit every
+#: placing of one to three substitutions in an item of 5 to 20 tokens that leaves an overlap, and of four in one of 16.
 MASKS = ("111111", "11101101", "1111011", "110100100111")
+SHORT_MASKS = ("110100011", "11111", "110111", "101111", "111011", "111101")
+SHORT_TOKENS = 20
+LEAST_MASKS = ("1111", "11011", "10111", "11101")
 MATCHES = 12
 MATCH_SHARE = 0.8
 LEAST_TOKENS = 5
@@ -66,6 +71,25 @@ def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def _overlap(same: np.ndarray, least: int) -> tuple[int, int]:
+    """Start and stop of the segment that scores best, or if fewer than `least` are equal in it, of the one with the most equal tokens of those with three in four at least."""
+    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
+    gain = total - np.minimum.accumulate(total)
+    stop = len(gain) - 1 - int(gain[::-1].argmax())
+    start = int(total[: stop + 1].argmin())
+    if int(same[start:stop].sum()) < least:
+        # the last stop at which the total is no less than at the start
+        ahead = np.maximum.accumulate(total[::-1])[::-1]
+        last = np.searchsorted(-ahead, -total, side="right") - 1
+        equal = np.concatenate(([0], np.cumsum(same)))
+        start = int((equal[last] - equal).argmax())
+        stop = int(last[start])
+        own = np.flatnonzero(same[start:stop])
+        if len(own):
+            start, stop = start + int(own[0]), start + int(own[-1]) + 1
+    return start, stop
+
+
 class Index:
     """Benchmark items by the hashes of every mask: sorted hashes with item and position, and a bitmap to pass most misses by."""
 
@@ -73,14 +97,14 @@ class Index:
         self.item_ids = item_ids
         self.tokens, self.off = tokens(column)
         size = np.diff(self.off)
-        self.masks = list(enumerate(MASKS)) + [(len(MASKS) + n, "1" * n) for n in range(LEAST_TOKENS, len(MASKS[0])) if (size == n).any()]
+        kinds = [(m, LEAST_TOKENS, None) for m in MASKS] + [(m, LEAST_TOKENS, SHORT_TOKENS) for m in SHORT_MASKS] + [(m, LEAST_TOKENS, LEAST_TOKENS) for m in LEAST_MASKS]
+        able = [(size >= least) & (size <= most) if most else size >= least for _, least, most in kinds]
+        self.masks = [(salt, mask) for salt, (mask, _, most) in enumerate(kinds) if not most or able[salt].any()]
         found = []
         for salt, mask in self.masks:
             h = seeds(self.tokens, mask, salt)
             item = np.searchsorted(self.off, np.arange(len(h)), side="right") - 1
-            fits = (np.arange(len(h)) + len(mask) <= self.off[item + 1]) & (size[item] >= LEAST_TOKENS)
-            if salt >= len(MASKS):
-                fits &= size[item] == len(mask)
+            fits = (np.arange(len(h)) + len(mask) <= self.off[item + 1]) & able[salt][item]
             found.append((h[fits], item[fits], (np.arange(len(h)) - self.off[item])[fits]))
         h, self.item, self.at = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
@@ -115,12 +139,12 @@ class Index:
             if b <= a:
                 continue
             same = words[a:b] == own[a - s : b - s]
-            total = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
-            gain = total - np.minimum.accumulate(total)
-            stop = int(gain.argmax())
-            start = int(total[: stop + 1].argmin())
+            least = min(MATCHES, int(np.ceil(MATCH_SHARE * len(own))))
+            if int(same.sum()) < least:
+                continue
+            start, stop = _overlap(same, least)
             matched = int(same[start:stop].sum())
-            if matched >= min(MATCHES, int(np.ceil(MATCH_SHARE * len(own)))) and (t, i) not in best or (t, i) in best and matched > best[t, i][-1]:
+            if matched >= least and ((t, i) not in best or matched > best[t, i][-1]):
                 best[t, i] = (int(a - off[t]) + start, int(a - s) + start, stop - start, matched)
         for (t, i), found in best.items():
             yield t, i, *found

@@ -1,6 +1,7 @@
 """Benchmark decontamination: planted passages with substituted words, clean documents, edge cases."""
 
 import random
+from itertools import combinations
 
 import pyarrow as pa
 
@@ -63,6 +64,24 @@ def test_masks_bear_a_substitution_at_any_place():
         assert [(x[0], x[1]) for x in index.overlaps(pa.array([" ".join(copy)], pa.large_string()))] == [(0, 0)]
 
 
+def overlapping(n, places):
+    """Whether an item of n tokens with others at these places has an overlap: any segment with three equal in four that has enough of them."""
+    same = [k not in places for k in range(n)]
+    spans = (same[a:b] for a in range(n) for b in range(a + 1, n + 1))
+    return any(4 * sum(x) >= 3 * len(x) and (sum(x) >= dc.MATCHES or 5 * sum(x) >= 4 * n) for x in spans)
+
+
+def test_every_single_and_double_substitution_of_short_items_is_found():
+    rng = random.Random(6)
+    for n in range(5, 21):
+        item = words(rng, n)
+        index = dc.Index([0], pa.array([" ".join(item)], pa.large_string()))
+        placings = [c for r in (0, 1, 2) for c in combinations(range(n), r)]
+        texts = [" ".join(words(rng, 9, "d") + [f"other{k}" if k in c else w for k, w in enumerate(item)] + words(rng, 9, "d")) for c in placings]
+        found = {x[0] for x in index.overlaps(pa.array(texts, pa.large_string()))}
+        assert found == {k for k, c in enumerate(placings) if overlapping(n, c)}
+
+
 def test_tokens_are_letters_and_digits():
     one = dc.tokens(pa.array(["“Été” — l'an 2000!", "été l an 2000"], pa.large_string()))
     assert (one[0][:4] == one[0][4:]).all() and one[1].tolist() == [0, 4, 8]
