@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import _graph
 from ._arrow import lower_ascii, mix, slices, span_hashes, utf8, window_hashes, words
@@ -71,7 +71,8 @@ def _scan(n_words: int):
             n, d1, d2 = np.zeros(piece.num_rows, np.int64), [None] * piece.num_rows, [None] * piece.num_rows
             for i, s in shingle_sets(_text(piece), n_words):
                 n[i], (d1[i], d2[i]) = len(s), _digest(s)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["id", "n", "set1", "set2"])
+            own = [piece.column(piece.schema.get_field_index(c)) for c in ("row1", "row2")]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *own], names=["id", "n", "set1", "set2", "row1", "row2"])
 
     return run
 
@@ -300,10 +301,17 @@ def _joined(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return placed.join(sets.select("set1", "grams"), "set1").groupBy("list", "block", "other").applyInArrow(_join_group(percent), "a bigint, b bigint")
 
 
+def _row_key(id_col: str, text: str) -> tuple[Column, Column]:
+    """Two hashes of a row's id and text."""
+    i, t = F.col(id_col).cast("long"), F.col(text).cast("string")
+    return F.xxhash64(i.isNull(), i, t), F.xxhash64(t, F.length(t), i, i.isNull())
+
+
 def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """scan (id, n, set1, set2), a spanning set of the links (a, b: sets) and the sets' first ids (set1, rep, copies)."""
+    """scan (id, n, set1, set2, row1, row2), a spanning set of the links (a, b: sets) and the sets' first ids (set1, rep, copies)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    scan = saved(rows.mapInArrow(_scan(n_words), "id bigint, n bigint, set1 bigint, set2 bigint"), "shingle-scan")
+    keyed = rows.withColumns(dict(zip(("row1", "row2"), _row_key("id", "text"), strict=True)))
+    scan = saved(keyed.mapInArrow(_scan(n_words), "id bigint, n bigint, set1 bigint, set2 bigint, row1 bigint, row2 bigint"), "shingle-scan")
     unique = saved(scan.where("n > 0").groupBy("set1", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "shingle-sets")
     total, n_sets = unique.agg(F.sum("n"), F.count("*")).first()
     buckets = max(1, round((total or 0) / BUCKET_SHINGLES))
@@ -358,24 +366,42 @@ def _large(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(saved(more, "links-by-block"))
 
 
-def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: id_col, n_shingles, component_id (the smallest id that links reach)."""
-    scan, pairs, unique = links(docs, id_col, text, n_words, percent)
+def _labelled(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """set1, root and component_id (the smallest id) of the sets whose component has two rows or more."""
     named = unique.select("set1", "rep", "copies").join(_graph.components(pairs).withColumnRenamed("node", "set1"), "set1", "left").withColumn("root", F.coalesce("root", "set1"))
     named = saved(named.select("set1", "root", "rep", "copies"), "named-sets")
     first = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
-    labels = named.join(first, "root").select("set1", "component_id")
-    return scan.join(labels, "set1", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return named.join(first, "root").select("set1", "root", "component_id")
+
+
+def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: id_col, n_shingles, component_id (the smallest id that links reach)."""
+    scan, pairs, unique = links(docs, id_col, text, n_words, percent)
+    labels = _labelled(pairs, unique).drop("root").withColumn("_found", F.lit(True))
+    label = F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("id"))
+    return scan.join(labels, "set1", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents of docs, with all their columns, of which one for each component stays: the one with the smallest id."""
-    found = saved(components_of(docs, id_col, text, n_words, percent), "components-of")
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    gone = saved(gone, "duplicates")
-    kept = docs.join(small_side(gone, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    twice = found.where("n_shingles > 0").groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if twice:  # ids that repeat: one row of each stays
-        empty = F.coalesce(F.length(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
-        kept = kept.where(empty).unionByName(kept.where(~empty).withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text))).where("_nth = 1").drop("_nth"))
+    """The documents of docs, with all their columns, of which one row for each component stays: the one with the smallest id, then the smallest text.
+
+    Components are of sets, so unrelated texts that share an id, or have none, all stay, and so do texts without words.
+    """
+    scan, pairs, unique = links(docs, id_col, text, n_words, percent)
+    members = scan.join(_labelled(pairs, unique), "set1").select("root", F.col("id").eqNullSafe(F.col("component_id")).alias("first"), "row1", "row2")
+    members = saved(members, "components-of")
+    several = members.where("first").groupBy("root").agg(F.count("*").alias("rows")).where("rows > 1").select("root")
+    tied = saved(members.where("first").join(several, "root").select("root", "row1", "row2").distinct(), "tied")
+    gone = saved(members.where("not first").select("row1", "row2").unionByName(tied.select("row1", "row2")).distinct(), "duplicates")
+    row1, row2 = _row_key(id_col, text)
+    keyed = docs.withColumns({"_row1": row1, "_row2": row2})
+
+    def same(keys: DataFrame) -> tuple[DataFrame, Column]:
+        keys = keys.withColumnsRenamed({"row1": "_own1", "row2": "_own2", "root": "_root"})
+        return small_side(keys, BROADCAST_ROWS), (F.col("_row1") == F.col("_own1")) & (F.col("_row2") == F.col("_own2"))
+
+    kept = keyed.join(*same(gone), "left_anti").select(*docs.columns)
+    if tied.limit(1).count():  # rows that share the smallest id of their component
+        nth = F.row_number().over(Window.partitionBy("_root").orderBy(text))
+        kept = kept.unionByName(keyed.join(*same(tied)).withColumn("_nth", nth).where("_nth = 1").select(*docs.columns))
     return kept

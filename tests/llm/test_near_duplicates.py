@@ -74,6 +74,15 @@ def test_one_document_of_each_component_stays(make):
     assert sorted(kept) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_texts_that_share_an_id_or_have_none_stay(make):
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(6)]
+    near = "zz " + texts[5]
+    rows = [(None, texts[0], "s"), (3, texts[0], "s"), (None, texts[1], "s"), (None, texts[2], "s"), (7, texts[3], "s"), (7, texts[4], "s"), (7, texts[4], "s"),
+            (8, texts[5], "s"), (8, near, "s"), (None, near, "s"), (None, "", "s"), (7, " ", "s"), (None, texts[2], "s")]
+    kept = sorted(((r.doc_id, r.text) for r in nd.deduplicated(make(rows)).collect()), key=str)
+    assert kept == sorted([(3, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, min(near, texts[5])), (None, ""), (7, " ")], key=str)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10_000), st.integers(2, 40), st.sampled_from([9, 12]))
 def test_trees_find_every_component(seed, n, width):
