@@ -10,11 +10,12 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local default only where it is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where it is unset, a local master has a local folder, and a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -47,5 +48,10 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def in_tasks(files: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small saved table of files, dealt to a task for each file; the number is given, as adaptive execution would put all of them into one task."""
+    return files.repartitionByRange(max(1, min(most, files.count())), "path")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
