@@ -9,11 +9,12 @@ Segment: header (magic, counts and section sizes), document ids with a null mask
 exception counts, block starts (in 64-bit words), packed words, exception positions and values.
 
 Texts are cut where the tokenizer always cuts (before a space that follows a letter or mark, around a single line end between such, and before a mark that
-follows a letter), each distinct piece is encoded once with the tokenizer and kept for the worker's later batches. Texts with
-one of the tokenizer's added tokens, which a cut could part, are encoded whole.
+follows a letter), each distinct piece is encoded once with the tokenizer and kept for the worker's later batches; a piece
+that is one word goes to the tokenizer's model directly. Texts with one of the tokenizer's added tokens, which a cut could
+part, are encoded whole.
 
-Defined cases: a null text is empty and has the end id alone; null ids come first; rows that repeat are documents of their
-own; an empty table writes no file and gives an empty result; further columns are ignored.
+Defined cases: a null text is empty and has the end id alone; null ids come first; rows with equal ids
+are documents of their own, in the order of a hash of the text; an empty table writes no file and gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ._arrow import slices, span_hashes, utf8
 from ._files import read_file, write_file
-from ._store import new_folder, saved
+from ._store import in_tasks, new_folder, saved
 
 BLOCK = 128
 PERCENTILE = 90
@@ -142,6 +143,10 @@ _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[0x21:0x7F] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+# the characters that byte-level models write for bytes: visible ones as they are, the others from U+0100 on
+_BYTE_CHARS = np.arange(256, dtype="<u2")
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTE_CHARS[_HIDDEN] = 0x100 + np.arange(len(_HIDDEN))
 _PUNCTUATION = _GRAPHIC & ~_LETTER
 _PUNCTUATION[0x30:0x3A] = False
 
@@ -161,14 +166,28 @@ def cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[:n])
 
 
+def single_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Pieces of letters only (ASCII, and U+00C0 to U+00FF), after one space perhaps."""
+    second = np.zeros(len(raw), dtype=bool)
+    second[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    letter = _LETTER[raw] | second
+    letter[:-1] |= second[1:]
+    other = np.concatenate(([0], np.cumsum(~letter)))
+    first = start + ((raw[start] == 0x20) & (end - start > 1))
+    return other[end] == other[first]
+
+
 class Pieces:
     """Encodes each distinct piece of text once; what is kept is bounded by KEPT_PIECES and costs only time when it is dropped."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        split = self.tokenizer.pre_tokenizer
+        # a single word then is one unit of the model, which needs no pre-tokeniser
+        self.by_model = isinstance(self.tokenizer.model, models.BPE) and isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and self.tokenizer.normalizer is None
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.forget()
 
@@ -176,18 +195,35 @@ class Pieces:
         self.hashes, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _encode_new(self, texts: Iterator[str]) -> np.ndarray:
-        """Appends the ids of these pieces to flat; how many each has."""
-        lengths = []
-        while some := list(islice(texts, ENCODE_AT_ONCE)):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, ids), np.int32, len(ids)))
-            new = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum()))
-            if self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, len(new)), np.uint32)])
-            self.flat[self.used : self.used + len(new)] = new
-            self.used += len(new)
-        return np.concatenate(lengths)
+    def _append(self, new: np.ndarray) -> None:
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, len(new)), np.uint32)])
+        self.flat[self.used : self.used + len(new)] = new
+        self.used += len(new)
+
+    def _encode_new(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Appends the ids of these pieces to flat; where each one's begin, and how many it has."""
+        begin, length = np.zeros(len(start), np.int64), np.zeros(len(start), np.int32)
+        word = single_words(raw, start, end) if self.by_model else np.zeros(len(start), dtype=bool)
+        data, chars, model = raw.tobytes(), _BYTE_CHARS[raw].tobytes().decode("utf-16-le"), self.tokenizer.model
+        for own, by_model in ((np.flatnonzero(word), True), (np.flatnonzero(~word), False)):
+            for k in range(0, len(own), ENCODE_AT_ONCE):
+                some = own[k : k + ENCODE_AT_ONCE]
+                spans = zip(start[some].tolist(), end[some].tolist(), strict=True)
+                if by_model:
+                    got = (model.tokenize(chars[a:b]) for a, b in spans)
+                    ids, stops = [], []
+                    for tokens in got:
+                        ids += [t.id for t in tokens]
+                        stops.append(len(ids))
+                    new, length[some] = np.array(ids, dtype=np.uint32), np.diff(stops, prepend=0)
+                else:
+                    ids = [e.ids for e in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in spans], add_special_tokens=False)]
+                    length[some] = np.fromiter(map(len, ids), np.int32, len(ids))
+                    new = np.fromiter(chain.from_iterable(ids), np.uint32, int(length[some].sum()))
+                begin[some] = self.used + np.cumsum(length[some], dtype=np.int64) - length[some]
+                self._append(new)
+        return begin, length
 
     def _with_added(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The texts that have an added token."""
@@ -235,10 +271,9 @@ class Pieces:
         inside = at < len(self.hashes)
         new[inside] = self.hashes[at[inside]] != unique[inside]
         if new.any():
-            data, base = raw.tobytes(), self.used
-            length = self._encode_new(data[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True))
+            begin, length = self._encode_new(raw, start[first[new]], end[first[new]])
             self.hashes = np.insert(self.hashes, at[new], unique[new])
-            self.begin = np.insert(self.begin, at[new], base + np.cumsum(length, dtype=np.int64) - length)
+            self.begin = np.insert(self.begin, at[new], begin)
             self.length = np.insert(self.length, at[new], length)
         which = np.searchsorted(self.hashes, unique)[inverse]
         length = self.length[which].astype(np.int64)
@@ -293,7 +328,7 @@ def _writer(id_col: str, text: str, folder: str, tokenizer: str):
 def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the documents' token files in ascending order of id; the manifest: part, seq, path, n_docs, n_ids, and start, the ids in all files before."""
     folder = new_folder(docs.sparkSession, "token-files")
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
     manifest = saved(ordered.mapInArrow(_writer("id", "text", folder, tokenizer), "part int, seq int, path string, n_docs bigint, n_ids bigint"), "token-manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -314,5 +349,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(manifest: DataFrame) -> DataFrame:
     """Per document of the files of a manifest: doc_id, start, n_tokens, ids_crc32."""
-    files = manifest.select("path", "n_docs", "n_ids", "start").repartition(F.col("path"))
-    return files.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return in_tasks(manifest.select("path", "n_docs", "n_ids", "start")).mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
