@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ._files import read_file, write_file
-from ._store import new_folder, saved
+from ._store import in_tasks, new_folder, saved
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
@@ -197,4 +197,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(manifest: DataFrame) -> DataFrame:
     """Per record of the archives of a manifest: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return manifest.repartition(F.col("path")).mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return in_tasks(manifest).mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
