@@ -4,14 +4,16 @@ A document's set is its distinct 5-word shingles (hashed to 64 bits). Two docume
 at least 0.75, compared in whole numbers. Every link is found; equal sets are one node, so copies are not expanded.
 
 1. scan: size and digest of each document's set; documents with equal digests are one set.
-2. A set can only link if 75 % of its shingles are in another set. Shingles are dealt by hash as packed blocks, where a
-   task sends a shingle that several of its sets have only once, and each set learns how many of its shingles are shared.
+2. A set can only link if 75 % of its shingles are in another set, so of its some 44 % smallest shingles 43 % at least are
+   among those of another one. These are dealt by hash as packed blocks, where a task sends a shingle that several of its
+   sets have only once, and each set learns how many are shared; sets with too few go.
 3. Of sets that remain, the rarest shingles that a partner must have one of (the prefix) are its tokens.
 4. Sets that tokens connect are candidates of each other and are joined by signature trees: nodes hold OR-combined
    bitmaps of shingles and size ranges, and two trees are traversed together; a pair of nodes is left out if its largest
    possible overlap is too small, its sizes are too far apart, or all of its sets are linked already. Pairs of leaves are
    verified on the exact sets. Candidates of up to BLOCK sets are one tree. More are cut into blocks: first blocks of sets
-   with a common token, then all pairs of blocks whose root nodes can hold a link between sets not linked already.
+   with a common token, then the pairs of blocks whose root nodes (bitmap, sizes, labels) can hold a link between sets not
+   linked already; root nodes are compared in tiles, before any set is sent.
 5. Components of the links, by contraction in Spark.
 
 Hash collisions of 64-bit shingles or 128-bit set digests are the only approximation.
@@ -36,10 +38,13 @@ from ._store import saved, small_side
 WORDS = 5
 PERCENT = 75
 BUCKET_SHINGLES = 1_500_000
+SPREAD = 4
+KNOWN = 4_000_000
 PART_SETS = 20_000
 BROADCAST_ROWS = 2_000_000
 BLOCK = 512
 FANOUT = 8
+TILE = 64
 
 
 def shingle_sets(column: pa.Array, n_words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -77,38 +82,63 @@ def _scan(n_words: int):
     return run
 
 
-def _postings(n_words: int, buckets: int):
-    """Rows of bucket, shingles and sets as packed 64-bit values; a set of 0 stands for two sets or more. Buckets below 0: what is known to be shared, as sets and counts."""
+def _prefix(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of n shingles: how many of the smallest ones are looked at, and how many of these any partner has among its own.
+
+    A partner has t = percent % of n at least. Of the n - t + k smallest shingles, k at least are common ones, and among as many of
+    the partner's: k grows no faster than t, so the larger t of the two makes up for the larger k.
+    """
+    t = -(-percent * n // 100)
+    k = np.minimum(t, 1 + t // SPREAD)
+    return n - t + k, k
+
+
+def _postings(n_words: int, buckets: int, percent: int):
+    """Rows of bucket, shingles and sets, packed: the smallest shingles of each set (32 bits of each; the bucket is of the others).
+
+    A set of 0 stands for two sets or more: a task sends a shingle that several of its sets have only once, and remembers up to
+    KNOWN of them. Buckets below 0: what is known to be shared, as counts and sets. A set may be counted more than once, which
+    only makes it pass.
+    """
 
     def run(batches):
+        seen, known = set(), np.zeros(0, np.uint64)
         for piece in slices(batches, "text"):
-            seen, shingles, sets = set(), [], []
+            shingles, sets = [], []
             for _, s in shingle_sets(_text(piece), n_words):
                 key = _digest(s)[0]
                 if key not in seen:
                     seen.add(key)
-                    shingles.append(s)
-                    sets.append(np.full(len(s), key, np.int64))
+                    shingles.append(s[: _prefix(np.int64(len(s)), percent)[0]])
+                    sets.append(np.full(len(shingles[-1]), key, np.int64))
+            if len(seen) > KNOWN:
+                seen.clear()
             if not shingles:
                 continue
             h, d = np.concatenate(shingles), np.concatenate(sets)
             order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
+            h, d = h[order], d[order]
+            old = np.zeros(len(h), dtype=bool)
+            if len(known):
+                old = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
             twice = np.zeros(len(h), dtype=bool)
-            twice[order[1:]] |= same
-            twice[order[:-1]] |= same
-            local, count = np.unique(d[twice], return_counts=True)
-            several = np.unique(h[twice])
-            h, d = np.concatenate([h[~twice], several]), np.concatenate([d[~twice], np.zeros(len(several), np.int64)])
+            twice[1:] = h[1:] == h[:-1]
+            twice[:-1] |= twice[1:]
+            local, count = np.unique(d[twice | old], return_counts=True)
+            several = np.unique(h[twice & ~old])
+            if len(known) < KNOWN:
+                known = np.union1d(known, several)
+            h, d = np.concatenate([h[~twice & ~old], several]), np.concatenate([d[~twice & ~old], np.zeros(len(several), np.int64)])
             bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, h, d = bucket[order], h[order], d[order]
+            order = np.lexsort((d, bucket))
+            bucket, h, d = bucket[order], h[order].astype(np.uint32), d[order]
             cut = np.flatnonzero(np.diff(bucket)) + 1
-            ends = list(zip([0, *cut.tolist()], [*cut.tolist(), len(h)], strict=True))
+            ends = [x for x in zip([0, *cut.tolist()], [*cut.tolist(), len(h)], strict=True) if x[0] < x[1]]
             rows = [(int(bucket[a]), h[a:b].tobytes(), d[a:b].tobytes()) for a, b in ends]
             if len(local):
-                rows.append((-1 - int(mix(local[:1].astype(np.uint64))[0] % np.uint64(buckets)), count.astype(np.uint64).tobytes(), local.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shingles", "sets"])
+                rows.append((-1 - int(mix(local[:1].astype(np.uint64))[0] % np.uint64(buckets)), count.astype(np.uint32).tobytes(), local.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shingles", "sets"])
 
     return run
 
@@ -135,7 +165,7 @@ def _sums(group: pa.Table) -> pa.Table:
 
 
 def _shared_counts(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(b"".join(group["shingles"].to_pylist()), np.uint64)
+    h = np.frombuffer(b"".join(group["shingles"].to_pylist()), np.uint32)
     d = np.frombuffer(b"".join(group["sets"].to_pylist()), np.int64)
     if group["bucket"][0].as_py() < 0:
         keys, inverse = np.unique(d, return_inverse=True)
@@ -265,10 +295,7 @@ def _join_group(percent: int):
 
     def run(group: pa.Table) -> pa.Table:
         side, key, label = (group[c].to_numpy() for c in ("side", "set1", "label"))
-        flat = group["grams"].combine_chunks()
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        ends, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
-        grams = [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        grams = _grams(group)
         width = int(min(16, max(9, np.ceil(np.log2(4 * max(1, np.mean([len(g) for g in grams])))))))
         trees, keys = [], []
         for s in (0, 1, 2):
@@ -287,6 +314,49 @@ def _join_group(percent: int):
     return run
 
 
+_NODE = "list bigint, block bigint, bits binary, least bigint, most bigint, slack bigint, low bigint, high bigint"
+
+
+def _grams(group: pa.Table) -> list[np.ndarray]:
+    flat = group["grams"].combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    ends, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _root_node(width: int):
+    """The root node of a block's tree, as a row."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bits, *rest = Tree(_grams(group), group["label"].to_numpy(), width).levels[-1]
+        row = [group["list"][0].as_py(), group["block"][0].as_py(), bits[0].tobytes(), *(int(x[0]) for x in rest)]
+        return pa.table([pa.array([x]) for x in row], names=[c.split()[0] for c in _NODE.split(", ")])
+
+    return run
+
+
+def _node_pairs(percent: int):
+    """Pairs of blocks (block <= other) of two tiles, or of one, whose root nodes can hold a link."""
+
+    def level(group: pa.Table, own: np.ndarray) -> tuple:
+        bits = np.frombuffer(b"".join(group["bits"].take(pa.array(own)).to_pylist()), np.uint64).reshape(len(own), -1)
+        return bits, *(group[c].to_numpy()[own] for c in ("least", "most", "slack", "low", "high"))
+
+    def run(group: pa.Table) -> pa.Table:
+        side, block = group["side"].to_numpy(), group["block"].to_numpy()
+        left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(left)), np.arange(len(right)), indexing="ij"))
+        if not side[0]:
+            i, j = i[i <= j], j[i <= j]
+        if len(i):
+            ok = possible(level(group, left), i, level(group, right), j, percent)
+            i, j = i[ok], j[ok]
+        x, y = block[left[i]], block[right[j]]
+        return pa.table({"list": pa.array(np.full(len(x), group["list"][0].as_py()), pa.int64()), "block": pa.array(np.minimum(x, y), pa.int64()), "other": pa.array(np.maximum(x, y), pa.int64())})
+
+    return run
+
+
 def _tokens(sets: DataFrame, percent: int) -> DataFrame:
     """set1, n, of, nth, df, token: each set's prefix in the order of rarity among sets, as far as other sets have its shingles."""
     grams = sets.select("set1", "n", F.explode("grams").alias("token"))
@@ -314,9 +384,10 @@ def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent
     scan = saved(keyed.mapInArrow(_scan(n_words), "id bigint, n bigint, set1 bigint, set2 bigint, row1 bigint, row2 bigint"), "shingle-scan")
     unique = saved(scan.where("n > 0").groupBy("set1", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "shingle-sets")
     total, n_sets = unique.agg(F.sum("n"), F.count("*")).first()
-    buckets = max(1, round((total or 0) / BUCKET_SHINGLES))
-    shared = rows.mapInArrow(_postings(n_words, buckets), "bucket int, shingles binary, sets binary").groupBy("bucket").applyInArrow(_shared(max(1, n_sets // PART_SETS)), "part int, sets binary, counts binary")
-    able = saved(shared.groupBy("part").applyInArrow(_sums, "set1 bigint, shared bigint").join(unique, "set1").where(f"100 * shared >= {percent} * n").select("set1", "rep"), "linkable")
+    buckets = max(1, round((total or 0) / 2 / BUCKET_SHINGLES))
+    shared = rows.mapInArrow(_postings(n_words, buckets, percent), "bucket int, shingles binary, sets binary").groupBy("bucket").applyInArrow(_shared(max(1, n_sets // PART_SETS)), "part int, sets binary, counts binary")
+    t = f"(n * {percent} + 99) div 100"
+    able = saved(shared.groupBy("part").applyInArrow(_sums, "set1 bigint, shared bigint").join(unique, "set1").where(f"shared >= least({t}, 1 + {t} div {SPREAD})").select("set1", "rep"), "linkable")
     able = small_side(able, BROADCAST_ROWS)
     texts = rows.join(able.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     sets = texts.mapInArrow(_sets(n_words), "set1 bigint, n bigint, grams array<bigint>").dropDuplicates(["set1"])
@@ -325,7 +396,7 @@ def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent
     tokens = _tokens(sets, percent)
     first = tokens.groupBy("token").agg(F.min("set1").alias("b"))
     near = _graph.components(tokens.join(first, "token").select(F.col("set1").alias("a"), "b"))
-    sized = near.join(near.groupBy("root").agg(F.count("*").alias("size")), "root")
+    sized = near.join(small_side(saved(near.groupBy("root").agg(F.count("*").alias("size")), "candidate-sizes"), BROADCAST_ROWS), "root")
     placed = saved(sized.select(F.col("node").alias("set1"), F.col("root").alias("list"), "size"), "candidates")
     found = saved(_joined(placed.where(F.col("size") <= BLOCK).select("list", "set1", F.col("set1").alias("label"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side")), sets, percent), "links-in-blocks")
 
@@ -355,10 +426,15 @@ def _large(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alone = F.xxhash64(F.lit("label"), "label", F.pmod(F.xxhash64("set1"), F.ceil(F.col("own") / BLOCK).cast("long")))
     shared = F.xxhash64(F.lit("size"), F.floor(F.log("n") / 0.1), F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), parts.cast("double") / 8).cast("long")))
     blocks = saved(rest.join(sizes, ["list", "label"]).join(total, "list").withColumn("block", F.when(F.col("own") > BLOCK // 4, alone).otherwise(shared)).select("list", "set1", "n", "label", "block"), "blocks")
-    nodes = saved(blocks.groupBy("list", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")), "block-nodes")
-    other = nodes.select("list", F.col("block").alias("other"), *(F.col(c).alias(f"{c}2") for c in ("least", "most", "low", "high")))
-    pairs = nodes.join(other, "list").where("block <= other").where(f"100 * most >= {percent} * least2 and 100 * most2 >= {percent} * least and not (low = high and low2 = high2 and low = low2)")
-    pairs = saved(pairs.select("list", "block", "other"), "block-pairs")
+    mean = rest.agg(F.avg("n")).first()[0] or 1.0
+    width = int(np.clip(np.ceil(np.log2(16 * mean)), 12, 18))
+    nodes = saved(blocks.join(sets.select("set1", "grams"), "set1").groupBy("list", "block").applyInArrow(_root_node(width), _NODE), "block-nodes")
+    tiles = nodes.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
+    nodes = nodes.join(small_side(saved(tiles, "tile-counts"), BROADCAST_ROWS), "list").withColumn("tile", F.pmod(F.xxhash64("block"), "tiles"))
+    # a node goes to its tile's pairs: with itself (side 0), as the lower one (1), as the higher one (2)
+    sides = F.expr("transform(sequence(0L, tiles - 1), t -> named_struct('low', least(tile, t), 'high', greatest(tile, t), 'side', if(t = tile, 0, if(tile < t, 1, 2))))")
+    meeting = nodes.withColumn("p", F.explode(sides)).select("list", "block", "bits", "least", "most", "slack", "low", "high", F.col("p.low").alias("tile1"), F.col("p.high").alias("tile2"), "p.side")
+    pairs = saved(meeting.groupBy("list", "tile1", "tile2").applyInArrow(_node_pairs(percent), "list bigint, block bigint, other bigint"), "block-pairs")
     side = F.when(F.col("block") == F.col("other"), 0).otherwise(1)
     left = blocks.join(pairs, ["list", "block"]).withColumn("side", side)
     right = blocks.withColumnRenamed("block", "other").join(pairs.where("block < other"), ["list", "other"]).withColumn("side", F.lit(2))
@@ -370,8 +446,8 @@ def _labelled(pairs: DataFrame, unique: DataFrame) -> DataFrame:
     """set1, root and component_id (the smallest id) of the sets whose component has two rows or more."""
     named = unique.select("set1", "rep", "copies").join(_graph.components(pairs).withColumnRenamed("node", "set1"), "set1", "left").withColumn("root", F.coalesce("root", "set1"))
     named = saved(named.select("set1", "root", "rep", "copies"), "named-sets")
-    first = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
-    return named.join(first, "root").select("set1", "root", "component_id")
+    first = saved(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1"), "first-ids")
+    return named.join(small_side(first, BROADCAST_ROWS), "root").select("set1", "root", "component_id")
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
