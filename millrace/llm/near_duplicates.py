@@ -7,7 +7,8 @@ at least 0.75, compared in whole numbers. Every link is found; equal sets are on
 2. A set can only link if 75 % of its shingles are in another set, so of its some 44 % smallest shingles 43 % at least are
    among those of another one. These are dealt by hash as packed blocks, where a task sends a shingle that several of its
    sets have only once, and each set learns how many are shared; sets with too few go.
-3. Of sets that remain, the rarest shingles that a partner must have one of (the prefix) are its tokens.
+3. Of sets that remain, the rarest shingles that a partner must have one of are its tokens; in the same way, 62 % of a set's
+   shingles are enough to look at.
 4. Sets that tokens connect are candidates of each other and are joined by signature trees: nodes hold OR-combined
    bitmaps of shingles and size ranges, and two trees are traversed together; a pair of nodes is left out if its largest
    possible overlap is too small, its sizes are too far apart, or all of its sets are linked already. Pairs of leaves are
@@ -39,6 +40,7 @@ WORDS = 5
 PERCENT = 75
 BUCKET_SHINGLES = 1_500_000
 SPREAD = 4
+TOKEN_SPREAD = 2
 KNOWN = 4_000_000
 PART_SETS = 20_000
 BROADCAST_ROWS = 2_000_000
@@ -82,14 +84,14 @@ def _scan(n_words: int):
     return run
 
 
-def _prefix(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _prefix(n: np.ndarray, percent: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
     """For sets of n shingles: how many of the smallest ones are looked at, and how many of these any partner has among its own.
 
     A partner has t = percent % of n at least. Of the n - t + k smallest shingles, k at least are common ones, and among as many of
     the partner's: k grows no faster than t, so the larger t of the two makes up for the larger k.
     """
     t = -(-percent * n // 100)
-    k = np.minimum(t, 1 + t // SPREAD)
+    k = np.minimum(t, 1 + t // spread)
     return n - t + k, k
 
 
@@ -109,7 +111,7 @@ def _postings(n_words: int, buckets: int, percent: int):
                 key = _digest(s)[0]
                 if key not in seen:
                     seen.add(key)
-                    shingles.append(s[: _prefix(np.int64(len(s)), percent)[0]])
+                    shingles.append(s[: _prefix(np.int64(len(s)), percent, SPREAD)[0]])
                     sets.append(np.full(len(shingles[-1]), key, np.int64))
             if len(seen) > KNOWN:
                 seen.clear()
@@ -358,17 +360,19 @@ def _node_pairs(percent: int):
 
 
 def _tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """set1, n, of, nth, df, token: each set's prefix in the order of rarity among sets, as far as other sets have its shingles."""
-    grams = sets.select("set1", "n", F.explode("grams").alias("token"))
+    """set1, n, of, nth, df, token: of the smallest shingles of each set, those that other sets have there too, in the order of rarity, but for the last ones that any partner's tokens make up for."""
+    t = f"((n * {percent} + 99) div 100)"
+    k = f"least({t}, 1 + {t} div {TOKEN_SPREAD})"
+    grams = sets.select("set1", "n", F.explode(F.expr(f"slice(grams, 1, cast(n - {t} + {k} as int))")).alias("token"))
     common = saved(grams.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shingle-counts")
     chosen = grams.join(common, "token").groupBy("set1", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
-    chosen = chosen.withColumn("own", F.expr(f"slice(own, 1, cast(greatest(0, (n - (n * {percent} + 99) div 100 + 1) - (n - size(own))) as int))"))
+    chosen = chosen.withColumn("own", F.expr(f"slice(own, 1, cast(greatest(0, size(own) - {k} + 1) as int))"))
     return saved(chosen.select("set1", "n", F.size("own").alias("of"), F.posexplode("own").alias("nth", "t")).select("set1", "n", "of", "nth", "t.df", "t.token"), "tokens")
 
 
 def _joined(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links by trees: each (list, block, other) is a group, of one block (side 0) or of two (sides 1 and 2)."""
-    return placed.join(sets.select("set1", "grams"), "set1").groupBy("list", "block", "other").applyInArrow(_join_group(percent), "a bigint, b bigint")
+    return sets.select("set1", "grams").join(small_side(placed, BROADCAST_ROWS), "set1").groupBy("list", "block", "other").applyInArrow(_join_group(percent), "a bigint, b bigint")
 
 
 def _row_key(id_col: str, text: str) -> tuple[Column, Column]:
@@ -390,8 +394,10 @@ def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent
     able = saved(shared.groupBy("part").applyInArrow(_sums, "set1 bigint, shared bigint").join(unique, "set1").where(f"shared >= least({t}, 1 + {t} div {SPREAD})").select("set1", "rep"), "linkable")
     able = small_side(able, BROADCAST_ROWS)
     texts = rows.join(able.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.mapInArrow(_sets(n_words), "set1 bigint, n bigint, grams array<bigint>").dropDuplicates(["set1"])
+    sets = texts.mapInArrow(_sets(n_words), "set1 bigint, n bigint, grams array<bigint>")
     sets = saved(sets.join(able.select("set1"), "set1", "left_semi"), "linkable-sets")
+    if sets.count() > able.count():  # rows that share the smallest id of a set
+        sets = saved(sets.dropDuplicates(["set1"]), "linkable-sets")
 
     tokens = _tokens(sets, percent)
     first = tokens.groupBy("token").agg(F.min("set1").alias("b"))
@@ -413,7 +419,7 @@ def _large(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lists = tokens.where("nth = 0 or nth = of - 1 or nth = of div 2").select(F.xxhash64("token", which).alias("list"), "set1").distinct()
     length = lists.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
     block = F.pmod(F.xxhash64("list", "set1"), F.ceil(F.col("length") / (BLOCK // 2)).cast("long"))
-    found = saved(_joined(lists.join(length, "list").select("list", "set1", F.col("set1").alias("label"), block.alias("block"), block.alias("other"), F.lit(0).alias("side")), sets, percent), "links-by-token")
+    found = saved(_joined(saved(lists.join(length, "list").select("list", "set1", F.col("set1").alias("label"), block.alias("block"), block.alias("other"), F.lit(0).alias("side")), "token-lists"), sets, percent), "links-by-token")
 
     roots = _graph.components(found)
     labelled = saved(tokens.join(roots.withColumnRenamed("node", "set1"), "set1", "left").select("token", "list", "set1", "n", F.coalesce("root", "set1").alias("label")), "tokens-labelled")
@@ -428,7 +434,7 @@ def _large(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks = saved(rest.join(sizes, ["list", "label"]).join(total, "list").withColumn("block", F.when(F.col("own") > BLOCK // 4, alone).otherwise(shared)).select("list", "set1", "n", "label", "block"), "blocks")
     mean = rest.agg(F.avg("n")).first()[0] or 1.0
     width = int(np.clip(np.ceil(np.log2(16 * mean)), 12, 18))
-    nodes = saved(blocks.join(sets.select("set1", "grams"), "set1").groupBy("list", "block").applyInArrow(_root_node(width), _NODE), "block-nodes")
+    nodes = saved(sets.select("set1", "grams").join(small_side(blocks, BROADCAST_ROWS), "set1").groupBy("list", "block").applyInArrow(_root_node(width), _NODE), "block-nodes")
     tiles = nodes.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
     nodes = nodes.join(small_side(saved(tiles, "tile-counts"), BROADCAST_ROWS), "list").withColumn("tile", F.pmod(F.xxhash64("block"), "tiles"))
     # a node goes to its tile's pairs: with itself (side 0), as the lower one (1), as the higher one (2)
@@ -438,7 +444,7 @@ def _large(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = F.when(F.col("block") == F.col("other"), 0).otherwise(1)
     left = blocks.join(pairs, ["list", "block"]).withColumn("side", side)
     right = blocks.withColumnRenamed("block", "other").join(pairs.where("block < other"), ["list", "other"]).withColumn("side", F.lit(2))
-    more = _joined(left.unionByName(right).select("list", "set1", "label", "block", "other", "side"), sets, percent)
+    more = _joined(saved(left.unionByName(right).select("list", "set1", "label", "block", "other", "side"), "sides"), sets, percent)
     return found.unionByName(saved(more, "links-by-block"))
 
 
