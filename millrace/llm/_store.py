@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, NumericType, StringType, StructType
 
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
@@ -43,9 +44,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows (counted), else unchanged, for a shuffled join. df should be a saved table."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+MOST_ROWS = 1_000_000
+MOST_BYTES = 96 << 20
+
+
+def _width(name: str, kind: DataType) -> Column:
+    """Bytes of a column's value, about."""
+    column = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.size(column), F.lit(0)) * (8 if isinstance(kind.elementType, NumericType) else 64) + 16
+    return F.lit(64 if isinstance(kind, StructType) else 8)
+
+
+def small_side(df: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most these rows and bytes (both counted), else unchanged, for a shuffled join. df should be a saved table."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    n, size = df.select(width.alias("w")).limit(most_rows + 1).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(df) if n <= most_rows and (size or 0) <= most_bytes else df
 
 
 def in_tasks(files: DataFrame, most: int = 10_000) -> DataFrame:

@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators that SQL can express, by their definitions: all pairs, no hashes.
 
-The others have brute-force tests: fitted scores (1, 2), alignments (3), file names of shards (5), seeded draws (7), the
-hashed key that tells copies apart (9), a tokenizer (10).
+The others have brute-force tests: fitted scores (1, 2), alignments (3), file names of shards (5), seeded draws (7), a
+tokenizer (10).
 """
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -44,4 +44,24 @@ SELECT doc_id, line_no, keep[1] AS first_doc_id, keep[2] AS first_line_no, CASE
 FROM own JOIN best USING (line) WHERE (doc_id, line_no) > keep
 """
 
-ORACLES = {"op4_near_duplicates": NEAR_DUPLICATES, "op6_warc": WARC, "op8_line_dedup": LINE_DEDUP}
+_GAP = r"'[\x20\x09-\x0D]+'"
+
+QUALITY_RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, {_WORD}) AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM d),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS c FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT k, count(DISTINCT i + j) AS n FROM g, (SELECT unnest([0, 1, 2]) AS j) WHERE c > 1 GROUP BY k),
+l AS (SELECT k, source, t, trim(translate(regexp_replace(x, {_GAP}, ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS line, len(regexp_extract_all(x, {_WORD})) AS n
+    FROM (SELECT k, source, t, unnest(ls) AS x FROM w)),
+h AS (SELECT source, count(DISTINCT t) AS documents FROM d GROUP BY source),
+o AS (SELECT l.source, line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, documents
+    HAVING count(DISTINCT t) >= 10 AND count(DISTINCT t) > CAST(documents AS DOUBLE) * CAST('0.08' AS DOUBLE)),
+x AS (SELECT k, sum(n) AS gone FROM l JOIN o ON l.line = o.line AND l.source IS NOT DISTINCT FROM o.source GROUP BY k),
+f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, {_GAP}, '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(x.gone, 0) AS BIGINT) AS removed_words
+    FROM w LEFT JOIN r USING (k) LEFT JOIN x USING (k))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= CAST(n_words AS DOUBLE) * CAST('0.2' AS DOUBLE) AS kept FROM f
+"""
+
+ORACLES = {"op9_quality_rules": QUALITY_RULES, "op4_near_duplicates": NEAR_DUPLICATES, "op6_warc": WARC, "op8_line_dedup": LINE_DEDUP}

@@ -1,19 +1,15 @@
 """Quality rules with cross-document line frequency, in native expressions only.
 
-Each document gets the base figures of its own text. Its lines are normalised (lower case, runs of white space as one
-space, digits as 0) and hashed; for each host (source) the number of distinct documents with the line is counted. Lines
+Each document gets the base figures of its own text. Its lines are normalised (A-Z in lower case, runs of white space as one
+space, none at the ends) and hashed; for each host (source) the number of distinct documents with the line is counted. Lines
 above the host's limit are removed, and documents of which too little is left are rejected.
 
-Copies would make any text look like boilerplate, so copies count once. Lines are first counted over distinct texts. Where
-that puts a line above the limit, the texts that have it are told apart by what they have besides common lines: the
-smallest hash of the 5-word windows of their rare lines. A template's pages with text of their own so count one by one,
-however much of a page the template fills. A rare line that is a common one but for a few words (they share one of its
-few smallest window hashes, or a half) is not text of its own. Texts without text of their own are told apart by the
-smallest window hash of the whole text, which exact and near copies nearly always share.
+Documents are distinct by their text: exact copies on a host count once, near copies count one by one. A line goes where more
+than MAX_SHARE of the host's documents have it, and MIN_DOCUMENTS at least; a host of few documents so never loses a line.
 
 Defined cases: null or empty text has no words, so it fails the base rule; a null source is a host of its own; rows that
 repeat get the same verdict; an empty table gives an empty result; further columns are ignored by rate() and kept by
-clean(). Lines without a word are neither counted nor removed.
+clean(), whatever their names. Lines without a word are neither counted nor removed.
 """
 
 from __future__ import annotations
@@ -23,112 +19,68 @@ from pyspark.sql import DataFrame, functions as F
 from ._store import saved, small_side
 
 SPACE = r"[\\x20\\x09-\\x0D]"
-#: A line is removed where more than this share of the host's distinct documents has it, and at least MIN_DOCUMENTS.
 MAX_SHARE = 0.08
 MIN_DOCUMENTS = 10
 #: A document is rejected if less than this share of its words is left.
 MIN_LEFT = 0.2
-#: Window hashes of a line that tell its near copies; its halves do too from HALVED_WORDS words on.
-MARKS = 4
-HALVED_WORDS = 8
-BROADCAST_ROWS = 1_000_000
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _normal(line: str) -> str:
-    return f"regexp_replace(regexp_replace(lower(trim({line})), '{SPACE}+', ' '), '[0-9]', '0')"
+    return f"translate(trim(regexp_replace({line}, '{SPACE}+', ' ')), '{_UPPER}', '{_LOWER}')"
 
 
 def _keyed(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """Rows with equal text and host have equal verdicts: _k1 and _k2 name them."""
-    return docs.withColumns({
-        "_text": F.coalesce(F.col(text), F.lit("")),
-        "_host": F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")),
-    }).withColumns({"_k1": F.expr("xxhash64(_host, _text)"), "_k2": F.expr("xxhash64(_text, length(_text), _host)")})
+    """The rows as _row, their text and host, and _k1 and _k2: rows with equal text and host have equal verdicts."""
+    return docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("_host")).withColumns(
+        {"_k1": F.expr("xxhash64(_host, _text)"), "_k2": F.expr("xxhash64(_text, length(_text), _host)")})
 
 
 def figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base figures, base_failed, and for the line stage _key (the smallest 5-word window hash) and _lines."""
-    def window(n: int) -> str:
-        return ", ".join(f"element_at(_words, i + {k})" for k in range(n))
-
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumns({
-        "_words": F.expr(f"filter(split(_text, '{SPACE}+'), w -> w <> '')"),
-        "_rows": F.expr(f"filter(split(_text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"),
-        "word_chars": F.expr("cast(length(translate(_text, ' \\t\\n\\u000B\\f\\r', '')) as bigint)"),
-        "n_symbols": F.expr("cast(length(_text) - length(translate(_text, '#*$%&|<>', '')) as bigint)"),
+    """docs with the base figures, base_failed, and _lines: hash and words of each line that has a word."""
+    df = docs.withColumn("_whole", F.coalesce(F.col(text), F.lit(""))).withColumns({
+        "_words": F.expr(f"filter(split(_whole, '{SPACE}+'), w -> w <> '')"),
+        "_rows": F.expr(f"filter(split(_whole, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"),
+        "word_chars": F.expr("cast(length(translate(_whole, ' \\t\\n\\u000B\\u000C\\r', '')) as bigint)"),
+        "n_symbols": F.expr("cast(length(_whole) - length(translate(_whole, '#*$%&|<>', '')) as bigint)"),
     })
     df = df.withColumns({
         "n_words": F.expr("cast(size(_words) as bigint)"),
         "n_dup_lines": F.expr("cast(size(_rows) - size(array_distinct(_rows)) as bigint)"),
-        "_sorted": F.expr(f"if(size(_words) < 3, cast(array() as array<struct<h:bigint,p:int>>), sort_array(transform(sequence(1, size(_words) - 2), i -> named_struct('h', xxhash64({window(3)}), 'p', i))))"),
-        "_key": F.expr(f"if(size(_words) < 5, xxhash64(array_join(_words, ' ')), array_min(transform(sequence(1, size(_words) - 4), i -> xxhash64({window(5)}))))"),
-        "_lines": F.expr(f"transform(_rows, l -> named_struct('h', xxhash64({_normal('l')}), 'w', size(filter(split(l, '{SPACE}+'), w -> w <> ''))))"),
+        "_windows": F.expr("if(size(_words) < 3, cast(array() as array<bigint>), transform(sequence(1, size(_words) - 2), i -> xxhash64(element_at(_words, i), element_at(_words, i + 1), element_at(_words, i + 2))))"),
+        "_lines": F.expr(f"transform(transform(_rows, l -> {_normal('l')}), l -> named_struct('h', xxhash64(l), 'w', length(l) - length(replace(l, ' ', '')) + 1))"),
     })
+    # only texts in which a window is found twice have their windows sorted
+    df = df.withColumn("_sorted", F.expr("if(size(array_distinct(_windows)) = size(_windows), cast(array() as array<struct<h:bigint,p:int>>), sort_array(transform(_windows, (h, i) -> named_struct('h', h, 'p', i))))"))
     df = df.withColumn("_repeated", F.expr("sort_array(transform(filter(_sorted, (x, i) -> coalesce(get(_sorted, i - 1).h = x.h, false) or coalesce(get(_sorted, i + 1).h = x.h, false)), x -> x.p))"))
     df = df.withColumn("n_repeat_words", F.expr("aggregate(_repeated, named_struct('last', -3, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last)), a -> a.n)"))
-    return df.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).drop("_words", "_rows", "_sorted", "_repeated")
+    return df.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).drop("_whole", "_words", "_rows", "_windows", "_sorted", "_repeated")
 
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """Each line of texts: _k1, _k2, _host, h, _least (its smallest 5-word window hash) and _marks (hashes it shares with near copies of itself)."""
-    df = texts.withColumn("_l", F.explode(F.expr(f"filter(split(_text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')")))
-    df = df.withColumn("_n", F.expr(_normal("_l"))).withColumns({"h": F.xxhash64("_n"), "_w": F.expr("filter(split(_n, ' '), w -> w <> '')")})
-    window = ", ".join(f"element_at(_w, i + {k})" for k in range(5))
-    df = df.withColumn("_hashes", F.expr(f"if(size(_w) < 5, array(xxhash64(array_join(_w, ' '))), slice(sort_array(transform(sequence(1, size(_w) - 4), i -> xxhash64({window}))), 1, {MARKS}))"))
-    halves = "transform(array(0, 1), k -> xxhash64(k, array_join(if(k = 0, slice(_w, 1, size(_w) div 2), slice(_w, -(size(_w) div 2), size(_w) div 2)), ' ')))"
-    return df.select("_k1", "_k2", "_host", "h", F.element_at("_hashes", 1).alias("_least"), F.expr(f"if(size(_w) < {HALVED_WORDS}, _hashes, concat(_hashes, {halves}))").alias("_marks"))
-
-
-def _own(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """_k1, _k2 and _own, which tells texts apart by what they have besides common lines; null if that is nothing."""
-    lines = saved(_windows(texts).join(small_side(common, BROADCAST_ROWS), ["_host", "h"], "left"), "quality-windows")
-    rare = lines.where("over is null").select("_k1", "_k2", "_host", "h", "_least", F.explode("_marks").alias("_mark"))
-    marks = saved(lines.where("over is not null").groupBy("_host", "h").agg(F.first("_marks").alias("_marks")).select("_host", F.explode("_marks").alias("_mark")).distinct(), "quality-marks")
-    rare = rare.join(small_side(marks.withColumn("_near", F.lit(True)), BROADCAST_ROWS), ["_host", "_mark"], "left")
-    rare = rare.groupBy("_k1", "_k2", "h").agg(F.max("_near").alias("_near"), F.first("_least").alias("_least")).where("_near is null").groupBy("_k1", "_k2").agg(F.min("_least").alias("_rare"))
-    # without a rare line, lines that are common but below the limit
-    below = lines.where("not over").groupBy("_k1", "_k2").agg(F.xxhash64(F.sort_array(F.collect_set("h"))).alias("_below"))
-    return rare.join(below, ["_k1", "_k2"], "full").select("_k1", "_k2", F.coalesce("_rare", "_below").alias("_own"))
+def _removals(rated: DataFrame, max_share: float, min_documents: int) -> DataFrame:
+    """_k1, _k2, _removed (hashes of the lines above their host's limit) and _gone (their words), for texts that have such lines."""
+    unique = saved(rated.groupBy("_k1", "_k2").agg(F.first(F.struct("_host", "_lines")).alias("d")).select("_k1", "_k2", "d.*"), "quality-texts")
+    documents = unique.groupBy("_host").agg(F.count("*").alias("documents"))
+    counts = unique.select("_host", F.explode(F.expr("array_distinct(transform(_lines, l -> l.h))")).alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
+    over = counts.join(small_side(saved(documents, "quality-hosts")), "_host").where(F.col("n") > F.col("documents") * max_share).select("_host", "h")
+    lines = unique.select("_k1", "_k2", "_host", F.explode("_lines").alias("l")).select("_k1", "_k2", "_host", "l.h", "l.w")
+    return lines.join(small_side(saved(over, "quality-over")), ["_host", "h"]).groupBy("_k1", "_k2").agg(F.collect_set("h").alias("_removed"), F.sum("w").alias("_gone"))
 
 
-def _removals(rated: DataFrame, docs: DataFrame, max_share: float, min_documents: int) -> DataFrame:
-    """_k1, _k2, _removed (hashes of the lines above their host's limit) and _gone (their words), for texts that have such lines."""
-    unique = rated.groupBy("_k1", "_k2").agg(F.first(F.struct("_host", "_key", "_lines")).alias("d")).select("_k1", "_k2", "d.*")
-    lines = unique.select("_k1", "_k2", "_host", "_key", F.explode("_lines").alias("l")).select("_k1", "_k2", "_host", "_key", "l.h", "l.w")
-    counts = unique.select("_host", F.explode(F.expr("array_distinct(transform(_lines, l -> l.h))")).alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n"))
-    # a host has at least as many distinct documents as smallest hashes, so no line outside these is above the limit
-    least = unique.groupBy("_host", "_key").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("documents"))
-    common = saved(counts.where(F.col("n") >= min_documents).join(least, "_host").select("_host", "h", (F.col("n") > F.col("documents") * max_share).alias("over")), "quality-common")
-    over = small_side(common.where("over").select("_host", "h"), BROADCAST_ROWS)
-    held = saved(lines.join(over, ["_host", "h"]), "quality-held")
-    named = saved(held.select("_k1", "_k2").distinct(), "quality-named")
-    texts = docs.join(small_side(named, BROADCAST_ROWS), ["_k1", "_k2"], "left_semi").select("_k1", "_k2", "_host", "_text").dropDuplicates(["_k1", "_k2"])
-    own = small_side(saved(_own(texts, common), "quality-own"), BROADCAST_ROWS)
-
-    hosts = unique.select("_k1", "_k2", "_host", "_key").join(own, ["_k1", "_k2"], "left").groupBy("_host", "_key", "_own").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("documents"))
-    heavy = (
-        held.join(own, ["_k1", "_k2"], "left").groupBy("_host", "h", "_key", "_own").agg(F.lit(1).alias("one"))
-        .groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
-        .join(hosts, "_host").where(F.col("n") > F.col("documents") * max_share).select("_host", "h")
-    )
-    return held.join(small_side(saved(heavy, "quality-heavy"), BROADCAST_ROWS), ["_host", "h"]).groupBy("_k1", "_k2").agg(F.collect_set("h").alias("_removed"), F.sum("w").alias("_gone"))
-
-
-def _rated(docs: DataFrame, text: str, host: str, keep: list[str], max_share: float, min_documents: int) -> tuple[DataFrame, DataFrame]:
-    keyed = _keyed(docs.select(*keep, text, host), text, host)
-    rated = saved(figures(keyed, text)
-                  .select(*keep, "_k1", "_k2", "_host", "_key", "_lines", *FIGURES, "base_failed"), "quality-figures")
-    return rated, saved(_removals(rated, keyed, max_share, min_documents), "quality-removals")
+def _rated(docs: DataFrame, text: str, host: str, keep: list, max_share: float, min_documents: int) -> tuple[DataFrame, DataFrame]:
+    keyed = _keyed(docs, text, host).select(*keep, "_text", "_host", "_k1", "_k2")
+    rated = saved(figures(keyed, "_text").drop("_text"), "quality-figures")
+    return rated, saved(_removals(rated, max_share, min_documents), "quality-removals")
 
 
 def rate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", max_share: float = MAX_SHARE,
          min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
     """Per row of docs: id_col, the base figures, base_failed, removed_words and kept."""
-    rated, removals = _rated(docs, text, host, [id_col], max_share, min_documents)
+    rated, removals = _rated(docs, text, host, [F.col("_row").getField(id_col).alias("_id")], max_share, min_documents)
     gone = F.coalesce(F.col("_gone"), F.lit(0)).cast("long")
-    return rated.join(small_side(removals.select("_k1", "_k2", "_gone"), BROADCAST_ROWS), ["_k1", "_k2"], "left").select(
-        id_col, *FIGURES, "base_failed", gone.alias("removed_words"),
+    return rated.join(small_side(removals.select("_k1", "_k2", "_gone")), ["_k1", "_k2"], "left").select(
+        F.col("_id").alias(id_col), *FIGURES, "base_failed", gone.alias("removed_words"),
         (~F.col("base_failed") & (F.col("n_words") - gone >= F.col("n_words") * min_left)).alias("kept"))
 
 
@@ -137,12 +89,14 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source", max_share:
     """The documents that are kept, with all their columns; lines above the limits are gone from their text (and n_chars, where there is one, counts the text as it is now)."""
     rated, removals = _rated(docs, text, host, [], max_share, min_documents)
     gone = F.coalesce(F.col("_gone"), F.lit(0))
-    passed = saved(rated.groupBy("_k1", "_k2").agg(F.first(F.struct("n_words", "base_failed")).alias("d"))
-                   .where(~F.col("d.base_failed")).join(removals, ["_k1", "_k2"], "left")
-                   .where(F.col("d.n_words") - gone >= F.col("d.n_words") * min_left).select("_k1", "_k2", "_removed"), "quality-passed")
-    df = _keyed(docs, text, host).join(small_side(passed, BROADCAST_ROWS), ["_k1", "_k2"])
+    kept = ~F.col("base_failed") & (F.col("n_words") - gone >= F.col("n_words") * min_left)
+    # only texts that go or lose lines are joined
+    changes = saved(rated.join(small_side(removals), ["_k1", "_k2"], "left").withColumn("_kept", kept).where("not _kept or _removed is not null")
+                    .groupBy("_k1", "_k2").agg(F.first("_kept").alias("_kept"), F.first("_removed").alias("_removed")), "quality-changes")
+    df = _keyed(docs, text, host).join(small_side(changes), ["_k1", "_k2"], "left").where("coalesce(_kept, true)")
     cut = F.expr(f"array_join(filter(split(_text, '\\n'), l -> not (l rlike '[^\\\\x20\\\\x09-\\\\x0D]') or not array_contains(_removed, xxhash64({_normal('l')}))), '\\n')")
-    df = df.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(cut))
+    df = df.withColumn("_cut", F.when(F.col("_removed").isNotNull(), cut))
+    new = {text: F.coalesce("_cut", F.col("_row").getField(text))}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length(text)))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_cut").isNull(), F.col("_row").getField("n_chars")).otherwise(F.length("_cut")).cast(docs.schema["n_chars"].dataType)
+    return df.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
