@@ -3,16 +3,17 @@
 Documents are cut into blocks of words. Every source gets a target in words and from it an exact quota of blocks: whole
 passes over the source, then the first blocks of its permuted order that come nearest to the rest. A binary tree over the
 output shards splits the vector of quotas: at each node the left half's blocks are a multivariate hypergeometric draw.
-A shard's share of a source is a range of the source's permuted order, so shards draw disjoint blocks; within a shard the
-blocks are in the order of shuffle_key.
+Each leaf takes its counts of every source as a range of the source's permuted order, so shards draw disjoint blocks; what no
+leaf takes is not in the mix. Within a shard the blocks are shuffled: they are in the order of shuffle_key.
 
 The permuted order is by hash. Its ranks and running word counts come from two levels of windows: within buckets of the
 hash, and over the buckets' sums; a source has about as many buckets as a bucket has blocks, so no task gets a whole source.
-On the driver there is only the plan: a row per source, and per source and shard.
+On the driver there is only the plan: a row per source, and a count per source and shard. MOST_COUNTS of these are allowed:
+sources are corpora here, not hosts, and more sources need larger shards.
 
 Defined cases: null or blank texts have size 0 and no blocks; a null source comes last in the order of sources; rows that
 repeat are documents of their own; an empty table gives an empty mix; further columns are ignored by draw() and kept by
-mixed().
+mixed(), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ MOST_TIMES = 2
 BLOCK_WORDS = 128
 SHARD_WORDS = 20_000_000
 SEED = 7
-BROADCAST_ROWS = 1_000_000
+NUMPY_LIMIT = 1_000_000_000
+MOST_COUNTS = 2_000_000
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most_times: float = MOST_TIMES) -> list[float]:
@@ -62,21 +64,32 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> list[list[in
 
 
 def _draw(rng, colours: np.ndarray, n: int) -> np.ndarray:
-    """A multivariate hypergeometric draw by its conditional univariate ones; above numpy's limit of 1e9 by the normal limit of each."""
+    """A multivariate hypergeometric draw by its conditional univariate ones."""
     out, rest = np.zeros_like(colours), int(colours.sum())
     for i, k in enumerate(map(int, colours)):
         rest -= k
-        low, high = max(0, n - rest), min(k, n)
-        if k + rest < 1_000_000_000:
-            got = int(rng.hypergeometric(k, rest, n)) if k and n else 0
-        else:
-            p, total = k / (k + rest), k + rest
-            got = round(rng.normal(n * p, (n * p * (1 - p) * (total - n) / max(1, total - 1)) ** 0.5))
-        out[i] = min(max(got, low), high)
+        out[i] = _hypergeometric(rng, k, rest, n)
         n -= int(out[i])
     return out
 
 
+def _hypergeometric(rng, good: int, bad: int, n: int) -> int:
+    """How many of n drawn ones are good; beyond numpy's limit by inversion, with the probabilities' ratios added up from the mode to 12 standard deviations."""
+    low, high, total = max(0, n - bad), min(good, n), good + bad
+    if low == high:
+        return low
+    if total < NUMPY_LIMIT:
+        return int(rng.hypergeometric(good, bad, n))
+    p = good / total
+    mode, far = (n + 1) * (good + 1) // (total + 2), int(12 * (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5) + 50
+    k = np.arange(max(low, mode - far), min(high, mode + far) + 1)
+    here = k[:-1].astype(np.float64)
+    steps = np.log(good - here) + np.log(n - here) - np.log(here + 1) - np.log(bad - n + here + 1)
+    weight = np.concatenate(([0.0], np.cumsum(steps)))
+    chance = np.cumsum(np.exp(weight - weight.max()))
+    return int(k[min(len(k) - 1, np.searchsorted(chance, rng.random() * chance[-1], side="right"))])
+
+
 def _plan(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("p")).select("p.*")
 
@@ -117,11 +130,13 @@ def draw(docs: DataFrame, key: list[str], text: str = "text", source: str = "sou
     more = {r._source: r.n for r in ranked.where("_more").groupBy("_source").agg(F.count("*").alias("n")).collect()}
     quotas = [p["passes"] * p["blocks"] + more.get(p["s"], 0) for p in plan]
     shards = max(1, round(sum(goals) / shard_words))
+    if shards * len(plan) > MOST_COUNTS:
+        raise ValueError(f"{len(plan)} sources in {shards} shards are more than {MOST_COUNTS} counts; use fewer sources or a larger shard_words")
     bounds = [{"s": p["s"], "bounds": [int(x) for x in np.cumsum(c)]} for p, c in zip(plan, split_tree(quotas, shards, seed), strict=True)]
     shares = F.broadcast(_plan(docs, bounds, "s:string,bounds:array<bigint>").withColumnRenamed("s", "_source"))
     draws = ranked.withColumn("pass", F.explode(F.expr("if(passes + int(_more) > 0, sequence(0, passes + int(_more) - 1), array())"))).join(shares, "_source")
     steps = max(1, shards.bit_length())
-    draws = draws.withColumn("_at", F.expr("pass * blocks + _rank")).withColumn("shard", F.expr(
+    draws = draws.withColumn("_at", F.expr("pass * blocks + _rank")).where("_at < element_at(bounds, -1)").withColumn("shard", F.expr(
         f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {shards - 1}), (a, x) -> if(a.lo >= a.hi, a, if(element_at(bounds, int((a.lo + a.hi) div 2) + 1) <= _at, named_struct('lo', int((a.lo + a.hi) div 2 + 1), 'hi', a.hi), named_struct('lo', a.lo, 'hi', int((a.lo + a.hi) div 2)))), a -> a.lo)"))
     return sized.select(*key, "row_id", "size", "source_size", "target"), draws.select("row_id", "block", "start_word", "words", "pass", "shard", F.xxhash64(F.lit(seed), F.lit("shuffle"), "_order", "pass").alias("shuffle_key"))
 
@@ -135,14 +150,18 @@ def taken(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """docs as the mix takes them, whole documents as blocks: each row as often as it is drawn, with its columns as they are."""
-    names = {"_m1": F.xxhash64(*docs.columns), "_m2": F.xxhash64(F.lit("mix"), F.length(text), *reversed(docs.columns))}
-    keyed = docs.withColumns(names)
-    sized, draws = draw(keyed, ["_m1", "_m2"], text, source, block_words=None, **settings)
-    times = saved(sized.join(draws.groupBy("row_id").agg(F.count("*").alias("n")), "row_id").groupBy("_m1", "_m2").agg(F.sum("n").cast("int").alias("_times")), "mix-times")
+    """docs as the mix takes them, whole documents as blocks: each row as often as it is drawn, with its columns as they are.
+
+    A shard's rows are in one partition, in the order of their shuffle_key.
+    """
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.col(source).alias("_from"))
+    keyed = rows.withColumns({"_m1": F.xxhash64("_row"), "_m2": F.xxhash64(F.lit("mix"), F.length("_text"), "_from", "_row")})
+    sized, draws = draw(keyed, ["_m1", "_m2"], "_text", "_from", block_words=None, **settings)
+    takes = saved(sized.select("row_id", "_m1", "_m2").join(draws.select("row_id", "shard", "shuffle_key"), "row_id").drop("row_id"), "mix-draws")
+    shards = (takes.agg(F.max("shard")).first()[0] or 0) + 1
     doubles = saved(sized.groupBy("_m1", "_m2").agg(F.count("*").alias("n")).where("n > 1").select("_m1", "_m2"), "mix-doubles")
     if doubles.limit(1).count():  # rows that repeat exactly: one of them stands for all
-        again = keyed.join(doubles, ["_m1", "_m2"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_m1", "_m2").orderBy(F.lit(1)))).where("_nth = 1").drop("_nth")
+        again = keyed.join(doubles, ["_m1", "_m2"], "left_semi").dropDuplicates(["_m1", "_m2"])
         keyed = keyed.join(doubles, ["_m1", "_m2"], "left_anti").unionByName(again)
-    drawn = keyed.join(small_side(times, BROADCAST_ROWS), ["_m1", "_m2"])
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    drawn = keyed.select("_m1", "_m2", "_row").join(small_side(takes), ["_m1", "_m2"])
+    return drawn.repartition(shards, "shard").sortWithinPartitions("shard", "shuffle_key", "_m1").select("_row.*")
