@@ -10,12 +10,12 @@ A document is contaminated by an item if an overlap has MATCHES equal tokens, or
 Tokens are runs of letters and digits, lower case; punctuation and white space part them.
 
 The benchmark's hashes go to every task. Their size is bounded: a benchmark of more than CHUNK_TOKENS tokens is taken in
-chunks below that bound, one pass over the documents for each.
+chunks below that bound, one pass over the documents for each: benchmarks are small beside a corpus.
 
 Defined cases: null and empty texts have no tokens, so they are never contaminated and contaminate nothing; items of fewer
 than LEAST_TOKENS tokens are left out, as chance brings them; rows with a null item_id count as an item without a name;
 items that repeat give a row each; documents that repeat give a row each; empty tables give an empty result; further
-columns are ignored by overlaps and kept by clean.
+columns are ignored by overlaps and kept by clean, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ MATCH_SHARE = 0.8
 LEAST_TOKENS = 5
 CHUNK_TOKENS = 1_000_000
 FILTER_BITS = 22
-BROADCAST_ROWS = 1_000_000
+#: Pairs of places and positions of a seed above which a bitmap takes their place.
+OFTEN = 10_000
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)], dtype=np.uint64)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -112,39 +113,65 @@ class Index:
         self.bits = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.bits[(self.h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _diagonals(self, place: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+        """Arrays of text, item and shift of the hits of a mask: places in texts with their ranges in the index.
+
+        Where a text and an item both repeat a seed often, the shifts come from its places as a bitmap, moved by each position
+        in the item, instead of from all pairs of places and positions.
+        """
+        order = np.lexsort((place, low, text))
+        place, text, low, high = place[order], text[order], low[order], high[order]
+        heads = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (low[1:] != low[:-1])))) if len(place) else np.zeros(0, np.int64)
+        count = np.diff(np.append(heads, len(place)))
+        often = count * (high - low)[heads] > OFTEN
+        out = []
+        for g in np.flatnonzero(often).tolist():
+            own = place[heads[g] : heads[g] + count[g]]
+            bits = np.zeros(int(own[-1] - own[0]) + 1, dtype=bool)
+            bits[own - own[0]] = True
+            hits = np.arange(low[heads[g]], high[heads[g]])
+            for item in np.unique(self.item[hits]).tolist():
+                at = self.at[hits[self.item[hits] == item]]
+                moved = np.zeros(len(bits) + int(at.max() - at.min()), dtype=bool)
+                for k in (int(at.max()) - at).tolist():
+                    moved[k : k + len(bits)] |= bits
+                shift = np.flatnonzero(moved) + own[0] - at.max()
+                out.append(np.stack([np.full(len(shift), text[heads[g]]), np.full(len(shift), item), shift]))
+        few = np.repeat(~often, count)
+        place, text, low, n = place[few], text[few], low[few], (high - low)[few]
+        hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out.append(np.stack([np.repeat(text, n), self.item[hit], np.repeat(place, n) - self.at[hit]]))
+        return out
+
     def overlaps(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int]]:
         """Text, item, start in the text and in the item, length and equal tokens of the best overlap of each pair that has one."""
         words, off = tokens(column)
-        places, hits = [], []
+        found = []
         for salt, mask in self.masks:
             h = seeds(words, mask, salt)
             at = np.flatnonzero(self.bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             if len(at):
                 low, high = np.searchsorted(self.h, h[at]), np.searchsorted(self.h, h[at], side="right")
-                n = high - low
-                places.append(np.repeat(at, n))
-                hits.append(np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
-        if not places:
+                hit = high > low
+                found += self._diagonals(at[hit], np.searchsorted(off, at[hit], side="right") - 1, low[hit], high[hit])
+        if not found:
             return
-        place, hit = np.concatenate(places), np.concatenate(hits)
-        if not len(place):
-            return
-        item, shift = self.item[hit], place - self.at[hit]
-        text = np.searchsorted(off, place, side="right") - 1
-        pairs = np.unique(np.stack([text, item, shift]), axis=1).T.tolist()
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1).T.tolist()
         best: dict[tuple[int, int], tuple] = {}
         for t, i, s in pairs:
             own = self.tokens[self.off[i] : self.off[i + 1]]
             a, b = max(s, off[t]), min(s + len(own), off[t + 1])
             if b <= a:
                 continue
+            least, old = min(MATCHES, int(np.ceil(MATCH_SHARE * len(own)))), best[t, i][-1] if (t, i) in best else 0
+            if b - a <= old:
+                continue
             same = words[a:b] == own[a - s : b - s]
-            least = min(MATCHES, int(np.ceil(MATCH_SHARE * len(own))))
-            if int(same.sum()) < least:
+            if int(same.sum()) < max(least, old + 1):
                 continue
             start, stop = _overlap(same, least)
             matched = int(same[start:stop].sum())
-            if matched >= least and ((t, i) not in best or matched > best[t, i][-1]):
+            if matched >= least and matched > old:
                 best[t, i] = (int(a - off[t]) + start, int(a - s) + start, stop - start, matched)
         for (t, i), found in best.items():
             yield t, i, *found
@@ -191,7 +218,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The documents without an overlap with any item, with all their columns.."""
-    keyed = docs.withColumn("_c", F.xxhash64(text, id_col))
-    found = saved(overlaps(keyed, benchmark, "_c", text, **settings).select(F.col("doc_id").alias("_c")).distinct(), "contaminated")
-    return keyed.join(small_side(found, BROADCAST_ROWS), "_c", "left_anti").select(*docs.columns)
+    """The documents without an overlap with any item, with all their columns."""
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.xxhash64(text, id_col).alias("_c"))
+    found = saved(overlaps(keyed, benchmark, "_c", "_text", **settings).select(F.col("doc_id").alias("_c")).distinct(), "contaminated")
+    return keyed.join(small_side(found), "_c", "left_anti").select("_row.*")
