@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ._store import saved, small_side
 
-BROADCAST_ROWS = 1_000_000
 PARTS = 16
 
 
@@ -24,7 +23,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where: C
         rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 31)) < int((1 << 31) * (most / n)))
     rows = saved(rows, "labelled-ids")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    return saved(texts.join(small_side(rows, BROADCAST_ROWS), "_id").select("text", "label").repartition(PARTS), "labelled")
+    return saved(texts.join(small_side(rows), "_id").select("text", "label").repartition(PARTS), "labelled")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -30,7 +30,6 @@ from ._arrow import is_space, lower_ascii, mix, runs, slices, span_hashes, utf8
 from ._store import saved, small_side
 
 LEAST_WORDS = 8
-BROADCAST_ROWS = 1_000_000
 _BASE = np.uint64(0xB5026F5AA96619E9)
 _INVERSE = np.uint64(pow(0xB5026F5AA96619E9, -1, 1 << 64))
 
@@ -159,9 +158,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     common = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
     partners = half.join(_shuffled(saved(common, "common-halves")), "half", "left_semi").select("h").distinct()
     able = saved(unique.select("h", "first").join(_shuffled(saved(partners, "partners")), "h", "left_semi"), "lines-with-partners")
-    owners = small_side(saved(able.select(F.col("first.id").alias("id")).distinct(), "owners"), BROADCAST_ROWS)
+    owners = small_side(saved(able.select(F.col("first.id").alias("id")).distinct(), "owners"))
     texts = rows.join(owners.withColumnRenamed("id", "owner"), F.col("id").eqNullSafe(F.col("owner")), "left_semi")
-    worded = texts.mapInArrow(_words, "h bigint, words array<bigint>").join(small_side(able, BROADCAST_ROWS), "h").groupBy("h").agg(F.any_value("words").alias("words"), F.min("first").alias("first"))
+    worded = texts.mapInArrow(_words, "h bigint, words array<bigint>").join(small_side(able), "h").groupBy("h").agg(F.any_value("words").alias("words"), F.min("first").alias("first"))
     worded = saved(worded, "worded-lines")
 
     keys = saved(worded.select("h", "words", "first").mapInArrow(_keys, "key bigint, at int, h bigint, first struct<id:bigint,line:bigint>"), "deletion-keys")

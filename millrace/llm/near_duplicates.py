@@ -43,7 +43,7 @@ SPREAD = 4
 TOKEN_SPREAD = 2
 KNOWN = 4_000_000
 PART_SETS = 20_000
-BROADCAST_ROWS = 2_000_000
+MOST_ROWS = 2_000_000
 BLOCK = 512
 FANOUT = 8
 TILE = 64
@@ -372,7 +372,7 @@ def _tokens(sets: DataFrame, percent: int) -> DataFrame:
 
 def _joined(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links by trees: each (list, block, other) is a group, of one block (side 0) or of two (sides 1 and 2)."""
-    return sets.select("set1", "grams").join(small_side(placed, BROADCAST_ROWS), "set1").groupBy("list", "block", "other").applyInArrow(_join_group(percent), "a bigint, b bigint")
+    return sets.select("set1", "grams").join(small_side(placed, MOST_ROWS), "set1").groupBy("list", "block", "other").applyInArrow(_join_group(percent), "a bigint, b bigint")
 
 
 def _row_key(id_col: str, text: str) -> tuple[Column, Column]:
@@ -392,7 +392,7 @@ def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent
     shared = rows.mapInArrow(_postings(n_words, buckets, percent), "bucket int, shingles binary, sets binary").groupBy("bucket").applyInArrow(_shared(max(1, n_sets // PART_SETS)), "part int, sets binary, counts binary")
     t = f"(n * {percent} + 99) div 100"
     able = saved(shared.groupBy("part").applyInArrow(_sums, "set1 bigint, shared bigint").join(unique, "set1").where(f"shared >= least({t}, 1 + {t} div {SPREAD})").select("set1", "rep"), "linkable")
-    able = small_side(able, BROADCAST_ROWS)
+    able = small_side(able, MOST_ROWS)
     texts = rows.join(able.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     sets = texts.mapInArrow(_sets(n_words), "set1 bigint, n bigint, grams array<bigint>")
     sets = saved(sets.join(able.select("set1"), "set1", "left_semi"), "linkable-sets")
@@ -402,7 +402,7 @@ def links(docs: DataFrame, id_col: str, text: str, n_words: int = WORDS, percent
     tokens = _tokens(sets, percent)
     first = tokens.groupBy("token").agg(F.min("set1").alias("b"))
     near = _graph.components(tokens.join(first, "token").select(F.col("set1").alias("a"), "b"))
-    sized = near.join(small_side(saved(near.groupBy("root").agg(F.count("*").alias("size")), "candidate-sizes"), BROADCAST_ROWS), "root")
+    sized = near.join(small_side(saved(near.groupBy("root").agg(F.count("*").alias("size")), "candidate-sizes"), MOST_ROWS), "root")
     placed = saved(sized.select(F.col("node").alias("set1"), F.col("root").alias("list"), "size"), "candidates")
     found = saved(_joined(placed.where(F.col("size") <= BLOCK).select("list", "set1", F.col("set1").alias("label"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side")), sets, percent), "links-in-blocks")
 
@@ -434,9 +434,9 @@ def _large(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks = saved(rest.join(sizes, ["list", "label"]).join(total, "list").withColumn("block", F.when(F.col("own") > BLOCK // 4, alone).otherwise(shared)).select("list", "set1", "n", "label", "block"), "blocks")
     mean = rest.agg(F.avg("n")).first()[0] or 1.0
     width = int(np.clip(np.ceil(np.log2(16 * mean)), 12, 18))
-    nodes = saved(sets.select("set1", "grams").join(small_side(blocks, BROADCAST_ROWS), "set1").groupBy("list", "block").applyInArrow(_root_node(width), _NODE), "block-nodes")
+    nodes = saved(sets.select("set1", "grams").join(small_side(blocks, MOST_ROWS), "set1").groupBy("list", "block").applyInArrow(_root_node(width), _NODE), "block-nodes")
     tiles = nodes.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
-    nodes = nodes.join(small_side(saved(tiles, "tile-counts"), BROADCAST_ROWS), "list").withColumn("tile", F.pmod(F.xxhash64("block"), "tiles"))
+    nodes = nodes.join(small_side(saved(tiles, "tile-counts"), MOST_ROWS), "list").withColumn("tile", F.pmod(F.xxhash64("block"), "tiles"))
     # a node goes to its tile's pairs: with itself (side 0), as the lower one (1), as the higher one (2)
     sides = F.expr("transform(sequence(0L, tiles - 1), t -> named_struct('low', least(tile, t), 'high', greatest(tile, t), 'side', if(t = tile, 0, if(tile < t, 1, 2))))")
     meeting = nodes.withColumn("p", F.explode(sides)).select("list", "block", "bits", "least", "most", "slack", "low", "high", F.col("p.low").alias("tile1"), F.col("p.high").alias("tile2"), "p.side")
@@ -453,7 +453,7 @@ def _labelled(pairs: DataFrame, unique: DataFrame) -> DataFrame:
     named = unique.select("set1", "rep", "copies").join(_graph.components(pairs).withColumnRenamed("node", "set1"), "set1", "left").withColumn("root", F.coalesce("root", "set1"))
     named = saved(named.select("set1", "root", "rep", "copies"), "named-sets")
     first = saved(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1"), "first-ids")
-    return named.join(small_side(first, BROADCAST_ROWS), "root").select("set1", "root", "component_id")
+    return named.join(small_side(first, MOST_ROWS), "root").select("set1", "root", "component_id")
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -476,14 +476,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
     tied = saved(members.where("first").join(several, "root").select("root", "row1", "row2").distinct(), "tied")
     gone = saved(members.where("not first").select("row1", "row2").unionByName(tied.select("row1", "row2")).distinct(), "duplicates")
     row1, row2 = _row_key(id_col, text)
-    keyed = docs.withColumns({"_row1": row1, "_row2": row2})
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), row1.alias("_row1"), row2.alias("_row2"))
 
     def same(keys: DataFrame) -> tuple[DataFrame, Column]:
         keys = keys.withColumnsRenamed({"row1": "_own1", "row2": "_own2", "root": "_root"})
-        return small_side(keys, BROADCAST_ROWS), (F.col("_row1") == F.col("_own1")) & (F.col("_row2") == F.col("_own2"))
+        return small_side(keys), (F.col("_row1") == F.col("_own1")) & (F.col("_row2") == F.col("_own2"))
 
-    kept = keyed.join(*same(gone), "left_anti").select(*docs.columns)
+    kept = keyed.join(*same(gone), "left_anti").select("_row")
     if tied.limit(1).count():  # rows that share the smallest id of their component
-        nth = F.row_number().over(Window.partitionBy("_root").orderBy(text))
-        kept = kept.unionByName(keyed.join(*same(tied)).withColumn("_nth", nth).where("_nth = 1").select(*docs.columns))
-    return kept
+        nth = F.row_number().over(Window.partitionBy("_root").orderBy("_text"))
+        kept = kept.unionByName(keyed.join(*same(tied)).withColumn("_nth", nth).where("_nth = 1").select("_row"))
+    return kept.select("_row.*")
