@@ -89,3 +89,56 @@ def test_attention_weights_sum_to_one_and_find_the_bad_passage():
     score, attention = model.attention(x, first)
     assert ((score > 0.5) == (np.array(labels) > 0.5)).mean() > 0.95
     assert np.allclose(np.add.reduceat(attention, first[:-1]), 1)
+
+
+def test_ratios_by_plain_counts():
+    rng = np.random.default_rng(3)
+    n1, n0, size = 40, 60, 50
+    positive, negative = rng.integers(0, n1 + 1, size).astype(float), rng.integers(0, n0 + 1, size).astype(float)
+    r, kept = toxicity.ratios(positive, negative, n1, n0)
+    total = [sum(x + toxicity.ALPHA for x in c) for c in (positive, negative)]
+    for k in range(size):
+        want = np.log((positive[k] + toxicity.ALPHA) / total[0]) - np.log((negative[k] + toxicity.ALPHA) / total[1])
+        assert abs(r[k] - want) < 1e-12
+        table = [[positive[k], n1 - positive[k]], [negative[k], n0 - negative[k]]]
+        gain = sum(o * np.log(o * (n1 + n0) / (sum(row) * (table[0][j] + table[1][j]))) for row in table for j, o in enumerate(row) if o)
+        assert kept[k] == (gain > 0 and positive[k] + negative[k] >= toxicity.LEAST_TEXTS) or abs(gain) < 1e-9
+
+
+def test_fit_is_the_minimum_of_the_penalised_loss():
+    rng = np.random.default_rng(4)
+    x = (rng.random((30, 6)) < 0.4) * rng.normal(size=6)
+    y = (rng.random(30) < 0.5).astype(float)
+    rows, columns = np.nonzero(x)
+    w, b = toxicity.fit(rows, columns, x[rows, columns], y, 6, steps=3000)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y) + toxicity.L2 * w).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+
+
+def test_toxicity_of_a_tiny_corpus_by_plain_loops(spark):
+    texts = [f"you {'vile rotten' if k % 2 else 'kind gentle'} person {'abcdefgh'[k % 8]}" for k in range(24)]
+    sample = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, label int")
+    model = toxicity.train(sample)
+    grams = lambda t: {t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+    bucket = lambda g: int(next(h for n, (h, _) in zip(toxicity.ORDERS, toxicity.buckets(pa.array([g], pa.large_string()))) if n == len(g))[0])
+    for text in [*texts[:4], "a vile gentle text", ""]:
+        total = model.intercept + sum(model.weights[b] for b in {bucket(g) for g in grams(text)})
+        got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().score
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_attention_score_by_plain_loops():
+    rng = np.random.default_rng(5)
+    w = {k: rng.normal(size=s) * 0.3 for k, s in {"W": (quality.N_FEATURES, quality.CODE), "b": (quality.CODE,), "V": (quality.CODE, quality.GATE), "U": (quality.CODE, quality.GATE), "w": (quality.GATE,), "c": (quality.CODE,), "d": (1,)}.items()}
+    texts = pa.array(["some words here " * 60, "one passage", "", "Ünï CAPS!! 12 " * 90], pa.large_string())
+    x, first = quality.passages(texts)
+    model = quality.Model(np.full(quality.N_FEATURES, 0.1), np.full(quality.N_FEATURES, 2.0), w, 0.5)
+    for k, got in enumerate(model.scores(texts)):
+        codes, gates = [], []
+        for row in x[first[k] : first[k + 1]]:
+            h = np.tanh(((row - 0.1) / 2.0) @ w["W"] + w["b"])
+            codes.append(h)
+            gates.append(float((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["w"]))
+        weight = [np.exp(g) / sum(np.exp(o) for o in gates) for g in gates]
+        z = sum(a * h for a, h in zip(weight, codes))
+        assert abs(got - 1 / (1 + np.exp(-(float(z @ w["c"]) + w["d"][0])))) < 1e-6

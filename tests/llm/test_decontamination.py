@@ -1,6 +1,7 @@
 """Benchmark decontamination: planted passages with substituted words, clean documents, edge cases."""
 
 import random
+import time
 from itertools import combinations
 
 import pyarrow as pa
@@ -85,3 +86,44 @@ def test_every_single_and_double_substitution_of_short_items_is_found():
 def test_tokens_are_letters_and_digits():
     one = dc.tokens(pa.array(["“Été” — l'an 2000!", "été l an 2000"], pa.large_string()))
     assert (one[0][:4] == one[0][4:]).all() and one[1].tolist() == [0, 4, 8]
+
+
+def test_repeated_tokens_take_little_time_and_find_what_all_pairs_find(monkeypatch):
+    item = pa.array(["again " * 200], pa.large_string())
+    index = dc.Index([0], item)
+    start = time.perf_counter()
+    assert [x[-2:] for x in index.overlaps(pa.array(["again " * 20_000, "other " + "again " * 150], pa.large_string()))] == [(200, 200), (150, 150)]
+    assert time.perf_counter() - start < 5
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab") for _ in range(300)) for _ in range(6)]
+    index = dc.Index([0, 1], pa.array([" ".join(rng.choice("ab") for _ in range(40)), "a " * 30], pa.large_string()))
+    found = {}
+    for often in (0, 10_000, 10**9):
+        monkeypatch.setattr(dc, "OFTEN", often)
+        found[often] = list(index.overlaps(pa.array(texts, pa.large_string())))
+    assert found[0] == found[10_000] == found[10**9] and found[0]
+
+
+def test_against_every_shift():
+    """Documents and items of few different tokens: what is found reaches the most equal tokens over all shifts, and nothing is lost."""
+    rng, pairs = random.Random(11), 0
+    items = [words(rng, n) for n in (5, 7, 9, 12, 14, 16, 24)]
+    index = dc.Index(list(range(len(items))), pa.array([" ".join(x) for x in items], pa.large_string()))
+    texts = []
+    for _ in range(400):
+        copy = list(rng.choice(items))
+        for at in rng.sample(range(len(copy)), rng.choice([0, 1, 2, 3])):
+            copy[at] = f"other{at}"
+        texts.append(words(rng, rng.randrange(12), "d") + copy[rng.choice([0, 0, 1]) :] + words(rng, rng.randrange(12), "d"))
+    found = {x[:2]: x[-1] for x in index.overlaps(pa.array([" ".join(t) for t in texts], pa.large_string()))}
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            least, best = min(dc.MATCHES, -(-4 * len(item) // 5)), 0
+            for shift in range(1 - len(item), len(text)):
+                same = [0 <= shift + k < len(text) and text[shift + k] == item[k] for k in range(len(item))]
+                if sum(same) >= least:
+                    spans = (same[a:b] for a in range(len(same)) for b in range(a + 1, len(same) + 1))
+                    best = max([best, *(sum(x) for x in spans if 4 * sum(x) >= 3 * len(x))])
+            assert ((t, i) in found) == (best >= least) and found.get((t, i), 0) <= best
+            pairs += best >= least
+    assert pairs > 200

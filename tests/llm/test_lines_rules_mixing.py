@@ -242,6 +242,78 @@ def test_mix_of_odd_and_empty_tables(odd, none):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_the_mix_comes_from_the_leaves_of_the_tree(make, monkeypatch):
+    docs = make([(i, " ".join(f"w{k}" for k in range(300)), "ab"[i % 2]) for i in range(80)])
+    whole = {r.doc_id: r.taken for r in mixing.taken(docs, shard_words=5_000).collect()}
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: [[n // 2 for n in c] for c in tree(quotas, shards, seed)])
+    half = {r.doc_id: r.taken for r in mixing.taken(docs, shard_words=5_000).collect()}
+    assert 0.3 * sum(whole.values()) < sum(half.values()) < 0.6 * sum(whole.values())
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: [[0] * shards for _ in quotas])
+    assert not any(r.taken for r in mixing.taken(docs, shard_words=5_000).collect())
+
+
+def test_taken_against_a_plain_draw(make):
+    """The blocks are the first ones of each source's order, as often as its target needs, computed a second time in plain loops."""
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([1, 100, 129, 700]))), rng.choice(["a", "b", None])) for i in range(90)]
+    docs = make(rows)
+    sized, draws = mixing.draw(docs, ["doc_id"], shard_words=3_000)
+    number = {r.row_id: r.doc_id for r in sized.collect()}
+    got = {r.doc_id: r.taken for r in mixing.taken(docs, shard_words=3_000).collect()}
+    totals, taken = {}, {}
+    for _, t, s in rows:
+        totals[s] = totals.get(s, 0) + len(t.split())
+    names = sorted((s for s in totals if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    goal, rest, open_ = {}, 1.5 * sum(totals.values()), set(names)
+    while any(rest * weight[s] / sum(weight[x] for x in open_) > 2 * totals[s] for s in open_):
+        s = max(open_, key=lambda s: weight[s] / totals[s])
+        goal[s] = 2.0 * totals[s]
+        rest -= goal[s]
+        open_.remove(s)
+    goal |= {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    for r in draws.collect():
+        taken[number[r.row_id]] = taken.get(number[r.row_id], 0) + r.words
+    assert got == {i: taken.get(i, 0) for i, *_ in rows}
+    for s in names:
+        own = sum(got[i] for i, _, x in rows if x == s)
+        assert abs(own - goal[s]) <= mixing.BLOCK_WORDS and all(got[i] >= len(t.split()) * int(goal[s] // totals[s]) for i, t, x in rows if x == s)
+
+
+def test_draws_beyond_numpys_limit_are_hypergeometric(monkeypatch):
+    want = np.random.default_rng(1).hypergeometric(4_000, 6_000, 2_500, 20_000)
+    monkeypatch.setattr(mixing, "NUMPY_LIMIT", 0)
+    rng = np.random.default_rng(2)
+    got = np.array([mixing._hypergeometric(rng, 4_000, 6_000, 2_500) for _ in range(4_000)])
+    assert abs(got.mean() - want.mean()) < 1.5 and abs(got.std() / want.std() - 1) < 0.05
+    few = [mixing._hypergeometric(rng, 3, 2, 2) for _ in range(4_000)]
+    assert np.abs(np.bincount(few, minlength=3) / 4_000 - [0.1, 0.6, 0.3]).max() < 0.03
+    large = [mixing._hypergeometric(rng, 10**11, 2 * 10**11, 10**10) for _ in range(20)]
+    assert abs(np.mean(large) / (10**10 / 3) - 1) < 1e-4
+
+
+def test_shards_are_shuffled_inside(make):
+    docs = make([(i, "ten words " * 5, "a") for i in range(400)])
+    shards = mixing.mixed(docs, shard_words=1_000).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    lists = {}
+    for r in shards:
+        lists.setdefault(r.p, []).append(r.doc_id)
+    assert len(lists) > 2 and all(x != sorted(x) for x in lists.values() if len(x) > 9)
+
+
+def test_columns_of_any_name_keep_their_values(make, spark):
+    from millrace.llm import decontamination, near_duplicates
+
+    docs = make([(i, " ".join(f"w{i}x{k}" for k in range(60)) + "\nshared line", "a") for i in range(30)])
+    benchmark = spark.createDataFrame([(1, "nothing in common with any of them at all")], "item_id long, text string")
+    names = docs.columns[13:]
+    want = tuple(docs.select(*names).first())
+    for out in (qr.clean(docs), decontamination.clean(docs, benchmark), near_duplicates.deduplicated(docs), mixing.mixed(docs)):
+        rows = out.select("doc_id", *names).collect()
+        assert out.columns == docs.columns and {tuple(r)[1:] for r in rows} == {want} and len({r.doc_id for r in rows}) == 30
+
+
 def test_native_operators_run_no_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for df in (qr.rate(docs), mixing.taken(docs), qr.figures(docs)):

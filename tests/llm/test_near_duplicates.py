@@ -117,3 +117,25 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert all(got[k] == 0 for k in range(61)) and got[100] == got[101] == 100
     assert components(links.where("false")).count() == 0
+
+
+def test_unrelated_texts_under_repeated_and_null_ids_stay(make):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(8)]
+    rows = [(i, t, "s") for i, t in zip([1, 1, 2, 2, None, None, None, 3], texts)] + [(7, texts[0], "s")]
+    assert sorted(r.text for r in nd.deduplicated(make(rows)).collect()) == sorted(texts)
+
+
+def test_smaller_shingles_are_enough():
+    """Whatever two sets link, the looked at parts of both have the stated number in common."""
+    rng = np.random.default_rng(1)
+    for spread in (nd.SPREAD, nd.TOKEN_SPREAD):
+        for _ in range(400):
+            n, m = rng.integers(1, 80, 2)
+            common = int(np.ceil(75 * (n + m) / 175))
+            if common > min(n, m):
+                continue
+            pool = rng.permutation(10_000)[: n + m - common]
+            x, y = np.sort(pool[:n]), np.sort(pool[n - common :])
+            (p, k), (q, l) = nd._prefix(n, 75, spread), nd._prefix(m, 75, spread)
+            assert len(set(x[:p].tolist()) & set(y[:q].tolist())) >= max(k, l)

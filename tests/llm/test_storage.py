@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -182,3 +183,30 @@ def test_compaction_versions_and_conflicts(spark, tmp_path):
         store.commit(newest, [])
     assert store.shards() == after
     assert store.vacuum() == 16 and store.versions() == [newest] and store.read().count() == 400
+
+
+def test_shard_columns_describe_the_files_that_hold_the_rows(spark, tmp_path):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(5)).alias("text"))
+    rows = sharding.sharded(docs, folder=f"file://{tmp_path}/store").collect()
+    files = {p.name: p for p in (tmp_path / "store" / "data").rglob("*.parquet")}
+    newest = max(int(p.stem) for p in (tmp_path / "store" / "versions").glob("*.json") if not p.name.startswith("."))
+    assert sorted(r.doc_id for r in rows) == list(range(500)) and {r.shard_version for r in rows} == {newest}
+    for name in {r.shard_file for r in rows}:
+        own = [r for r in rows if r.shard_file == name]
+        assert {r.shard_bytes for r in own} == {files[name].stat().st_size}
+        assert sorted(pq.read_table(files[name], columns=["doc_id"])["doc_id"].to_pylist()) == sorted(r.doc_id for r in own)
+    assert {r.shard_file for r in rows} == set(files)
+
+
+def test_files_are_read_in_many_tasks(spark, sf, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 10)
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    manifest = warc.write(pages)
+    assert manifest.count() > 3 and warc.read_back(manifest).rdd.getNumPartitions() == manifest.count()
+
+
+def test_words_go_to_the_model_as_the_library_encodes_them():
+    texts = ["plain Words über Straße ÀÉ×÷ x", " ", " a", "é", "Ã ÃÃ", "don't we'll 12ab ab12 foo.bar(baz)", "naïve\ncoöperate\r\nfin \u00a0x\u3000y"]
+    ids, counts = PIECES.encode(*utf8(pa.array(texts, pa.large_string())))
+    want = [TOKENIZER.encode(t, add_special_tokens=False).ids + [tf.END_ID] for t in texts]
+    assert PIECES.by_model and counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
