@@ -38,10 +38,10 @@ from ._store import saved, small_side
 
 WORDS = 5
 PERCENT = 75
-BUCKET_SHINGLES = 1_500_000
+BUCKET_SHINGLES = 600_000
 SPREAD = 4
 TOKEN_SPREAD = 2
-KNOWN = 4_000_000
+KNOWN = 1_000_000
 PART_SETS = 20_000
 MOST_ROWS = 2_000_000
 BLOCK = 512
@@ -238,7 +238,7 @@ def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) ->
     ok = (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i])
     ok &= ~((a[4][i] == a[5][i]) & (b[4][j] == b[5][j]) & (a[4][i] == b[4][j]))
     k = np.flatnonzero(ok)
-    for part in np.array_split(k, max(1, len(k) * a[0].shape[1] // 4_000_000)):
+    for part in np.array_split(k, max(1, len(k) * a[0].shape[1] // 1_000_000)):
         x, y = i[part], j[part]
         most = np.bitwise_count(a[0][x] & b[0][y]).sum(axis=1).astype(np.int64) + np.minimum(a[3][x], b[3][y])
         # an overlap o needs 100 o >= percent * (|x| + |y| - o)

@@ -41,6 +41,7 @@ SEGMENT_TOKENS = 1_000_000
 FILE_BYTES = 48 << 20
 KEPT_PIECES = 2_500_000
 ENCODE_AT_ONCE = 20_000
+ENCODE_BYTES = 2 << 20
 _MAGIC = b"MRTOKPF1"
 _HEAD = struct.Struct("<8sQQQQQQ")  # magic, bytes of the segment, documents, ids, blocks, words, exceptions
 
@@ -308,7 +309,7 @@ def _writer(id_col: str, text: str, folder: str, tokenizer: str):
                 data.clear()
                 totals[:] = [0, 0, 0]
 
-        for piece in slices(batches, text):
+        for piece in slices(batches, text, ENCODE_BYTES):
             got, each = _pieces[tokenizer].encode(*utf8(piece.column(piece.schema.get_field_index(text))))
             names += piece.column(piece.schema.get_field_index(id_col)).to_pylist()
             counts.append(each)
