@@ -53,10 +53,10 @@ def div0null(a, b) -> Column:
 
 
 def truncate(x, digits: int = 0) -> Column:
-    """x cut after this many decimal places, towards 0."""
-    scale = F.lit(float(10**digits)) if digits >= 0 else F.lit(1 / 10**-digits)
+    """x, as it is written in decimal, cut after this many decimal places, towards 0."""
     x = col(x).cast("double")
-    return F.signum(x) * F.floor(F.abs(x) * scale).cast("double") / scale
+    cut = F.floor(F.abs(x).try_cast("decimal(38,18)"), F.lit(min(digits, 18))).cast("double")
+    return F.coalesce(F.signum(x) * cut, x)  # beyond a decimal's range a DOUBLE has no decimal places
 
 
 trunc_number = truncate

@@ -15,7 +15,10 @@ UNITS = {
     "day": "day", "days": "day", "d": "day", "dd": "day",
     "hour": "hour", "hours": "hour", "h": "hour", "hh": "hour",
     "minute": "minute", "minutes": "minute", "m": "minute", "mi": "minute", "min": "minute",
-    "second": "second", "seconds": "second", "s": "second", "sec": "second",
+    "second": "second", "seconds": "second", "s": "second", "sec": "second", "ss": "second",
+    "millisecond": "millisecond", "milliseconds": "millisecond", "ms": "millisecond",
+    "microsecond": "microsecond", "microseconds": "microsecond", "us": "microsecond",
+    "nanosecond": "nanosecond", "nanoseconds": "nanosecond", "ns": "nanosecond",
 }
 #: Date formats in the order in which they are tried. Fixed values.
 TO_DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "d-M-yyyy", "d/M/yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
@@ -30,8 +33,10 @@ def _unit(part: str) -> str:
 
 
 def dateadd(part: str, n, d, is_date: bool = True) -> Column:
-    """d (DATE, or a timestamp if not is_date) plus n units; months and longer keep the day, cut to the month's last. Units below a day need a timestamp."""
-    unit, n, d = _unit(part), col(n).cast("int"), col(d)
+    """d (DATE, or a timestamp if not is_date) plus n units; months and longer keep the day, cut to the month's last. Units below a day need a timestamp; nanoseconds are cut to whole microseconds."""
+    unit, d = _unit(part), col(d)
+    below = {"millisecond": 1_000, "microsecond": 1_000_000, "nanosecond": 1_000_000}.get(unit)
+    n = col(n).cast("long" if below else "int")
     months = {"year": 12, "quarter": 3, "month": 1}.get(unit)
     days = {"week": 7, "day": 1}.get(unit)
     if is_date:
@@ -41,6 +46,9 @@ def dateadd(part: str, n, d, is_date: bool = True) -> Column:
             return F.date_add(d, n * days)
         raise ValueError(f"a DATE has no {unit}")
     zero = F.lit(0)
+    if below:
+        n = (n - n % 1000) / 1000 if unit == "nanosecond" else n
+        return d + F.make_dt_interval(zero, zero, zero, (n.cast("decimal(18,0)") / F.lit(below)).cast("decimal(18,6)"))
     if months:
         return d + F.make_ym_interval(zero, n * months)
     return d + F.make_dt_interval(n * (days or 0), n if unit == "hour" else zero, n if unit == "minute" else zero, (n if unit == "second" else zero).cast("decimal(18,6)"))
@@ -54,6 +62,8 @@ def datediff(part: str, a, b) -> Column:
         return (F.year(b) - F.year(a)).cast("long")
     if unit in ("month", "quarter"):
         return months.cast("long") if unit == "month" else (F.signum(months) * F.floor(F.abs(months) / 3)).cast("long")
+    if unit == "nanosecond":
+        return F.timestamp_diff("MICROSECOND", a, b).cast("long") * 1000
     return F.timestamp_diff(unit.upper(), a, b).cast("long")
 
 

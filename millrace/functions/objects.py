@@ -49,10 +49,10 @@ def object_construct_keep_null(*pairs) -> Column:
 
 
 def object_insert(o, key, value, update: bool = False) -> Column:
-    """With the key; an object that has it already stays as it is unless update."""
-    m, k = _map(o), col(key)
+    """With the key; an object that has it already stays as it is unless update; null for a null key."""
+    m, k = _map(o), F.coalesce(col(key).cast("string"), F.lit(""))
     new = F.map_concat(F.map_filter(m, lambda a, _: a != k), F.create_map(k, F.parse_json(json_value(value))))
-    return _print(new if update else F.when(F.map_contains_key(m, k), m).otherwise(new))
+    return F.when(col(key).isNotNull(), _print(new if update else F.when(F.map_contains_key(m, k), m).otherwise(new)))
 
 
 def object_delete(o, *keys: str) -> Column:
@@ -72,7 +72,14 @@ def object_keys(o) -> Column:
 def path_of(path: str) -> str:
     """A dot path ('a.b.0', 'a[0].b') as a JSON path; parts of digits are positions."""
     parts = [p for p in re.split(r"\.|\[|\]", path) if p]
-    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in parts)
+    return "$" + "".join(f"[{p}]" if p.isdigit() else _step(p) for p in parts)
+
+
+def _step(key: str) -> str:
+    """A key as a step of a JSON path, in the quotes that it doesn't have."""
+    if "'" in key and '"' in key:
+        raise ValueError(f"a path can't have a key with both kinds of quotes: {key}")
+    return f'["{key}"]' if "'" in key else f"['{key}']"
 
 
 def _text(v: Column) -> Column:
@@ -89,7 +96,7 @@ def get(j, key) -> Column:
     """The element at a position (int or integer Column) or key (text): strings without quotes."""
     v = F.try_parse_json(col(j))
     if isinstance(key, str):
-        return _text(F.try_variant_get(v, f"$['{key}']", "variant"))
+        return _text(F.element_at(v.try_cast("map<string,variant>"), F.lit(key))) if "'" in key and '"' in key else _text(F.try_variant_get(v, f"${_step(key)}", "variant"))
     if isinstance(key, int):
         return _text(F.try_variant_get(v, f"$[{key}]", "variant"))
     return _text(F.get(v.try_cast("array<variant>"), key.cast("int")))

@@ -35,12 +35,12 @@ _E, _VALUE = _ELEMENTS.format("a"), f"try_variant_get(try_parse_json(j), {_PATH.
 FUNCTIONS = {
     "div0": ("a DOUBLE, b DOUBLE", "DOUBLE", "CASE WHEN b = 0 THEN 0D ELSE a / b END"),
     "div0null": ("a DOUBLE, b DOUBLE", "DOUBLE", "try_divide(a, b)"),
-    "truncate": ("x DOUBLE, n INT DEFAULT 0", "DOUBLE", "signum(x) * floor(abs(x) * power(10, n)) / power(10, n)"),
+    "truncate": ("x DOUBLE, n INT DEFAULT 0", "DOUBLE", "signum(x) * CASE WHEN n BETWEEN 0 AND 9 AND abs(x) < 1e15 THEN cast(floor(cast(abs(x) AS DECIMAL(27,12)) * cast(power(10, n) AS DECIMAL(10,0))) AS DOUBLE) ELSE floor(abs(x) * power(10, n)) END / power(10, n)"),
     "charindex": ("part STRING, s STRING, start INT DEFAULT 1", "BIGINT", "locate(part, s, start)"),
     "strtok": ("s STRING, delimiters STRING DEFAULT ' ', n INT DEFAULT 1", "STRING", f"get({_TOKENS.format('s', 'delimiters')}, n - 1)"),
     "strtok_to_array": ("s STRING, delimiters STRING DEFAULT ' '", "STRING", _array(f"transform({_TOKENS.format('s', 'delimiters')}, x -> to_json(cast(x AS VARIANT)))")),
     "json_split": ("s STRING, delimiter STRING", "STRING", _array("transform(split(s, concat('\\\\Q', delimiter, '\\\\E')), x -> to_json(cast(x AS VARIANT)))")),
-    "try_to_boolean": ("s STRING", "BOOLEAN", "CASE WHEN lower(trim(s)) IN ('true', 't', 'yes', 'y', 'on', '1') THEN true WHEN lower(trim(s)) IN ('false', 'f', 'no', 'n', 'off', '0') THEN false END"),
+    "try_to_boolean": ("s STRING", "BOOLEAN", "CASE WHEN lower(trim(s)) IN ('true', 't', 'yes', 'y', 'on', '1') THEN true WHEN lower(trim(s)) IN ('false', 'f', 'no', 'n', 'off', '0') THEN false WHEN try_cast(trim(s) AS DOUBLE) = floor(try_cast(trim(s) AS DOUBLE)) THEN try_cast(trim(s) AS DOUBLE) <> 0 END"),
     "json_canonical": ("s STRING", "STRING", "to_json(try_parse_json(s))"),
     "json_typeof": ("s STRING", "STRING", f"CASE WHEN s IS NULL THEN NULL WHEN {_KIND.format('s')} IS NULL THEN 'VARCHAR' WHEN {_KIND.format('s')} = 'VOID' THEN 'NULL_VALUE' WHEN {_KIND.format('s')} = 'BIGINT' THEN 'INTEGER' WHEN {_KIND.format('s')} RLIKE '^(DECIMAL|DOUBLE|FLOAT)' THEN 'DECIMAL' WHEN {_KIND.format('s')} = 'BOOLEAN' THEN 'BOOLEAN' WHEN {_KIND.format('s')} LIKE 'ARRAY%' THEN 'ARRAY' WHEN {_KIND.format('s')} LIKE 'OBJECT%' THEN 'OBJECT' ELSE 'VARCHAR' END"),
     "is_array": ("s STRING", "BOOLEAN", _is("^ARRAY<")), "is_object": ("s STRING", "BOOLEAN", _is("^OBJECT<")), "is_null_value": ("s STRING", "BOOLEAN", _is("^VOID$")),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession, functions as F
 
 from .values import col
 
@@ -31,21 +32,30 @@ def strtok_to_array(s, delimiters: str = " ") -> Column:
     return _json_strings(_tokens(s, delimiters))
 
 
+def _fits(pattern: str) -> bool:
+    """Whether the pattern is a regular expression; with one that isn't, the functions below are null."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def regexp_like(s, pattern: str) -> Column:
     """Whether the pattern is found anywhere."""
-    return col(s).rlike(pattern)
+    return col(s).rlike(pattern) if _fits(pattern) else F.lit(None).cast("boolean")
 
 
 def regexp_substr(s, pattern: str) -> Column:
-    return F.regexp_substr(col(s), F.lit(pattern))
+    return F.regexp_substr(col(s), F.lit(pattern)) if _fits(pattern) else F.lit(None).cast("string")
 
 
 def regexp_replace(s, pattern: str, replacement: str = "") -> Column:
-    return F.regexp_replace(col(s), pattern, replacement)
+    return F.regexp_replace(col(s), pattern, replacement) if _fits(pattern) else F.lit(None).cast("string")
 
 
 def regexp_count(s, pattern: str) -> Column:
-    return F.regexp_count(col(s), F.lit(pattern)).cast("long")
+    return F.regexp_count(col(s), F.lit(pattern)).cast("long") if _fits(pattern) else F.lit(None).cast("long")
 
 
 def contains(s, x) -> Column:

@@ -70,18 +70,24 @@ def is_boolean(x) -> Column:
     return _is(x, "^BOOLEAN$")
 
 
+def _unsigned(x) -> Column:
+    """Whether x is an integer from 2**63 to 2**64 - 1, which a VARIANT holds as a decimal."""
+    value = canonical(x).try_cast("decimal(38,0)")
+    return F.when(col(x).isNotNull(), F.coalesce(_is(x, "^DECIMAL\\([0-9]+,0\\)$") & value.between(F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")), F.lit(False)))
+
+
 def is_integer(x) -> Column:
-    return _is(x, "^BIGINT$|,0\\)$") & ~F.coalesce(is_decimal(x), F.lit(False)) if False else _is(x, "^BIGINT$")
+    return _is(x, "^BIGINT$") | _unsigned(x)
 
 
 def is_decimal(x) -> Column:
-    return _is(x, "^(DECIMAL|DOUBLE|FLOAT)")
+    return _is(x, "^(DECIMAL|DOUBLE|FLOAT)") & ~_unsigned(x)
 
 
 def typeof(x) -> Column:
     """NULL_VALUE, BOOLEAN, INTEGER, DECIMAL, VARCHAR, ARRAY or OBJECT; text that isn't JSON is VARCHAR."""
     k = kind(x)
-    return F.when(col(x).isNotNull(), F.when(k.isNull(), "VARCHAR").when(k == "VOID", "NULL_VALUE").when(k == "BOOLEAN", "BOOLEAN").when(k == "BIGINT", "INTEGER")
+    return F.when(col(x).isNotNull(), F.when(k.isNull(), "VARCHAR").when(k == "VOID", "NULL_VALUE").when(k == "BOOLEAN", "BOOLEAN").when((k == "BIGINT") | _unsigned(x), "INTEGER")
                   .when(k.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "DECIMAL").when(k.startswith("ARRAY"), "ARRAY").when(k.startswith("OBJECT"), "OBJECT").otherwise("VARCHAR"))
 
 

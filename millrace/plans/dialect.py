@@ -100,6 +100,10 @@ DIALECT = {
     "hash_fns": (plan(lambda t: t.customer.select("c_custkey", X.sha1("c_name").alias("h1"), X.sha2("c_name").alias("h2"))), "SELECT c_custkey, sha1(c_name) AS h1, sha256(c_name) AS h2 FROM customer"),
     "try_fns": (plan(lambda t: t.events.select("event_id", X.try_to_number(X.get_path("props", "k")).alias("n"), X.try_to_number("event_type").alias("bad"), X.try_to_boolean(F.when(F.col("event_type") == "click", "yes").otherwise("maybe")).alias("b"), X.try_to_date(F.date_format("ts", "dd/MM/yyyy")).alias("d"), X.try_to_date("event_type").alias("none"))),
                 f"SELECT event_id, CAST({_NUM} AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS bad, CASE WHEN event_type = 'click' THEN true END AS b, CAST(ts AS DATE) AS d, CAST(NULL AS DATE) AS none FROM events"),
+    "timestamp_fns": (plan(lambda t: t.events.select("event_id", *(X.dateadd(u, n, F.col("ts").cast("timestamp_ntz"), False).alias(f"add_{u}") for u, n in (("ss", 90), ("ms", 1500), ("us", -7), ("hour", 5), ("mon", 1))), X.datediff("ms", F.to_timestamp_ntz(F.lit("2020-01-01 00:00:00")), F.col("ts").cast("timestamp_ntz")).alias("since"))),
+                      "SELECT event_id, t + INTERVAL 90 SECOND AS add_ss, t + INTERVAL 1500 MILLISECOND AS add_ms, t - INTERVAL 7 MICROSECOND AS add_us, t + INTERVAL 5 HOUR AS add_hour, t + INTERVAL 1 MONTH AS add_mon, (epoch_us(t) - epoch_us(TIMESTAMP '2020-01-01')) // 1000 AS since FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS t FROM events)"),
+    "convert_fns": (plan(lambda t: t.orders.select("o_orderkey", X.to_date(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("d"), X.to_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).cast("string").alias("s"), X.to_json("o_custkey", False).alias("j"), X.array_construct_compact("o_custkey", F.nullif("o_orderstatus", F.lit("O"))).alias("a"), X.get(X.array_construct("o_orderkey", "o_custkey"), 1).alias("second"))),
+                    "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS s, CAST(o_custkey AS VARCHAR) AS j, CASE WHEN o_orderstatus = 'O' THEN '[' || o_custkey || ']' ELSE '[' || o_custkey || ',\"' || o_orderstatus || '\"]' END AS a, CAST(o_custkey AS VARCHAR) AS second FROM orders"),
     "sample_rows": (plan(lambda t: O.sample_rows(t.lineitem, 100, seed=3).agg(F.count("*").alias("n"))), "SELECT 100 AS n"),
     "sample_percent": (plan(lambda t: O.sample_percent(t.lineitem, 10, seed=3).agg(F.count("*").alias("k")).crossJoin(t.lineitem.agg(F.count("*").alias("n"))).select(F.expr("k between 0.07 * n and 0.13 * n").alias("near"))), "SELECT true AS near"),
 }

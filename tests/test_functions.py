@@ -48,6 +48,14 @@ GOLDENS = [
     ("to_timestamp", lambda: X.to_timestamp(L("2024-03-15 10:11:12")).cast("string"), "2024-03-15 10:11:12"), ("to_timestamp_epoch", lambda: X.to_timestamp(L(0), is_text=False).cast("string"), "1970-01-01 00:00:00"),
     ("last_day", lambda: X.last_day(d("2024-02-15")).cast("string"), "2024-02-29"), ("dayname", lambda: X.dayname(d("2024-01-15")), "Mon"), ("monthname", lambda: X.monthname(d("2024-12-25")), "Dec"),
     ("div0", lambda: X.div0(L(10), L(2)), 5.0), ("div0_zero", lambda: X.div0(L(10), L(0)), 0.0), ("div0null", lambda: X.div0null(L(10), L(0)), None), ("truncate", lambda: X.truncate(L(-1.289), 2), -1.28),
+    ("truncate_435", lambda: X.truncate(L(4.35), 2), 4.35), ("truncate_029", lambda: X.truncate(L(0.29), 2), 0.29), ("truncate_tens", lambda: X.truncate(L(-45.0), -1), -40.0), ("truncate_large", lambda: X.truncate(L(1e30), 2), 1e30),
+    ("dateadd_ms", lambda: X.dateadd("ms", 1500, L("2024-01-15 20:00:00").cast(STAMP), False).cast("string"), "2024-01-15 20:00:01.5"), ("dateadd_us", lambda: X.dateadd("microseconds", -1, L("2024-01-15 20:00:00").cast(STAMP), False).cast("string"), "2024-01-15 19:59:59.999999"),
+    ("dateadd_ns", lambda: X.dateadd("ns", 2999, L("2024-01-15 20:00:00").cast(STAMP), False).cast("string"), "2024-01-15 20:00:00.000002"), ("dateadd_ss", lambda: X.dateadd("SS", 61, L("2024-01-15 20:00:00").cast(STAMP), False).cast("string"), "2024-01-15 20:01:01"),
+    ("datediff_ms", lambda: X.datediff("ms", L("2024-01-15 20:00:00").cast(STAMP), L("2024-01-15 20:00:01.25").cast(STAMP)), 1250), ("datediff_ns", lambda: X.datediff("ns", L("2024-01-15 20:00:00").cast(STAMP), L("2024-01-15 20:00:00.000004").cast(STAMP)), 4000), ("datediff_us", lambda: X.datediff("us", L("2024-01-15 20:00:00").cast(STAMP), L("2024-01-15 19:59:59").cast(STAMP)), -1_000_000),
+    ("regexp_bad", lambda: X.regexp_like(L("abc"), "[a"), None), ("regexp_substr_bad", lambda: X.regexp_substr(L("abc"), "("), None), ("regexp_replace_bad", lambda: X.regexp_replace(L("abc"), "*"), None), ("regexp_count_bad", lambda: X.regexp_count(L("abc"), "a{2"), None),
+    ("object_insert_null", lambda: X.object_insert(L('{"a": 1}'), L(None).cast("string"), L(2)), None), ("get_quoted", lambda: X.get(L('{"it\'s": 5}'), "it's"), "5"), ("get_quotes", lambda: X.get(L('{"a\'\\"b": 6}'), "a'\"b"), "6"), ("get_path_quoted", lambda: X.get_path(L('{"it\'s": {"x": 7}}'), "it's.x"), "7"),
+    ("typeof_unsigned", lambda: X.typeof(L("18446744073709551615")), "INTEGER"), ("is_integer_unsigned", lambda: X.is_integer(L("9223372036854775808")), True), ("is_decimal_unsigned", lambda: X.is_decimal(L("9223372036854775808")), False), ("typeof_beyond", lambda: X.typeof(L("18446744073709551616")), "DECIMAL"),
+    ("try_to_boolean_2", lambda: X.try_to_boolean(L("2")), True),
     ("sha1", lambda: X.sha1(L("hello")), "aaf4c61ddcc5e8a2dabede0f3b482cd9aea9434d"), ("sha2", lambda: F.substr(X.sha2(L("hello")), L(1), L(8)), "2cf24dba"),
 ]
 
