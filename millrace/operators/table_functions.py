@@ -9,6 +9,7 @@ from ..functions.values import col
 
 LEVELS = 64
 _OUT = ("seq", "key", "path", "index", "value", "this")
+_WANTED = {"ARRAY": "^ARRAY", "OBJECT": "^OBJECT", "BOTH": "^(ARRAY|OBJECT)"}
 
 
 def lateral_flatten(df: DataFrame, source: str | Column, path: str | None = None, outer: bool = False, recursive: bool = False, mode: str = "BOTH", prefix: str = "") -> DataFrame:
@@ -17,57 +18,58 @@ def lateral_flatten(df: DataFrame, source: str | Column, path: str | None = None
     New columns, each with the prefix: seq (same for the elements of one input), key (of object entries), path, index (of
     array elements, from 0), value and this (JSON texts of the element and of what holds it). mode is ARRAY, OBJECT or
     BOTH. outer keeps rows without elements. recursive adds the elements of elements, whatever their depth up to LEVELS.
-    Each level is one Generate over what the level above has found: work follows the number of elements.
+
+    The input is read once: each level is one Generate over the rows that the level above has given, which it passes on
+    beside their elements. How many levels there are is found by one aggregate over the source beforehand, if recursive.
     """
     mode = mode.upper()
-    if mode not in ("ARRAY", "OBJECT", "BOTH"):
+    if mode not in _WANTED:
         raise ValueError(f"mode: {mode}")
-    names = [prefix + n for n in _OUT]
     root = F.try_parse_json(col(source))
     root = F.try_variant_get(root, path_of(path), "variant") if path else root
-    base = df.withColumn("__v", root).withColumn("__seq", F.monotonically_increasing_id())
-    start = "" if not path else path
-
-    def level(rows: DataFrame) -> DataFrame:
-        """rows has __v and __path; adds __pos, __key, __value and the element's path."""
-        is_array = F.schema_of_variant("__v").startswith("ARRAY")
-        is_object = F.schema_of_variant("__v").startswith("OBJECT")
-        wanted = {"ARRAY": is_array, "OBJECT": is_object, "BOTH": is_array | is_object}[mode] if not recursive else is_array | is_object
-        items = F.transform(F.when(is_array, F.col("__v")).try_cast("array<variant>"), lambda v, i: F.struct(i.cast("long").alias("index"), F.lit(None).cast("string").alias("key"), v.alias("value")))
-        entries = F.transform(F.array_sort(F.map_keys(F.when(is_object, F.col("__v")).try_cast("map<string,variant>"))), lambda k: F.struct(
-            F.lit(None).cast("long").alias("index"), k.alias("key"), F.element_at(F.col("__v").try_cast("map<string,variant>"), k).alias("value")))
-        found = rows.where(wanted).withColumn("__e", F.explode(F.coalesce(items, entries)))
-        step = F.when(F.col("__e.key").isNotNull(), F.concat(F.when(F.col("__path") == "", "").otherwise("."), F.col("__e.key"))).otherwise(F.concat(F.lit("["), F.col("__e.index"), F.lit("]")))
-        return found.withColumn("__path", F.concat("__path", step))
-
-    keep = df.columns
-    base = base.withColumn("__path", F.lit(start))
-
-    def shown(rows: DataFrame) -> DataFrame:
-        this, value = F.to_json("__v"), F.coalesce(F.to_json("__e.value"), F.lit("null"))
-        cells = (F.col("__seq"), F.col("__e.key"), F.col("__path"), F.col("__e.index"), value, this)
-        return rows.select(*keep, *(c.alias(n) for c, n in zip(cells, names, strict=True)))
-
-    def matching(rows: DataFrame) -> DataFrame:
-        return rows if mode == "BOTH" else rows.where(F.col("__e.index").isNotNull() if mode == "ARRAY" else F.col("__e.key").isNotNull())
-
-    rows = level(base)
-    out = shown(matching(rows))
     depth = 1
-    while recursive:
-        below = rows.withColumn("__v", F.col("__e.value")).drop("__e")
-        if not below.where(F.schema_of_variant("__v").rlike("^(ARRAY|OBJECT)")).limit(1).count():
-            break
-        if (depth := depth + 1) > LEVELS:
-            raise ValueError(f"JSON is nested deeper than {LEVELS} levels")
-        rows = level(below)
-        out = out.unionByName(shown(matching(rows)))
-    if outer:
-        kind = F.schema_of_variant("__v")
-        empty = (F.col("__v").isNull() | ~kind.rlike({"ARRAY": "^ARRAY", "OBJECT": "^OBJECT", "BOTH": "^(ARRAY|OBJECT)"}[mode] if not recursive else "^(ARRAY|OBJECT)")
-                 | (F.coalesce(F.size(F.col("__v").try_cast("array<variant>")), F.size(F.map_keys(F.col("__v").try_cast("map<string,variant>")))) == 0))
-        missing = base.where(F.coalesce(empty, F.lit(True)))
-        nothing = [F.lit(None).cast("string")] * 5
-        cells = (F.col("__seq"), nothing[0], nothing[1], F.lit(None).cast("long"), nothing[2], F.to_json("__v"))
-        out = out.unionByName(missing.select(*keep, *(c.alias(n) for c, n in zip(cells, names, strict=True))))
-    return out
+    if recursive and (depth := df.select(F.max(_depth(F.to_json(root)))).first()[0] or 1) > LEVELS:
+        raise ValueError(f"JSON is nested deeper than {LEVELS} levels")
+
+    explode = F.explode_outer if outer else F.explode
+    wanted = F.schema_of_variant("__v").rlike(_WANTED["BOTH" if recursive else mode])
+    rows = df.withColumn("__v", root).withColumn("__seq", F.monotonically_increasing_id())
+    rows = rows.withColumn("__e", explode(F.when(wanted, _elements(F.col("__v"), F.lit(path or "")))))
+    for _ in range(depth - 1):
+        below = F.when(F.col("__e.last"), _elements(F.col("__e.value"), F.col("__e.path")))
+        here = F.struct("__e.index", "__e.key", "__e.path", "__e.value", F.lit(False).alias("last"))
+        rows = rows.withColumn("__n", F.explode(F.concat(F.array(here), F.coalesce(below, F.array().cast(_ELEMENTS)))))
+        rows = rows.withColumn("__v", F.when(F.col("__n.last"), F.col("__e.value")).otherwise(F.col("__v"))).withColumn("__e", F.col("__n")).drop("__n")
+    missing = F.col("__e.path").isNull()
+    if recursive and mode != "BOTH":
+        rows = rows.where(F.col("__e.index" if mode == "ARRAY" else "__e.key").isNotNull() | missing)
+    value = F.when(~missing, F.coalesce(F.to_json("__e.value"), F.lit("null")))
+    cells = (F.col("__seq"), F.col("__e.key"), F.col("__e.path"), F.col("__e.index"), value, F.to_json("__v"))
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns), *(c.alias(prefix + n) for c, n in zip(cells, _OUT, strict=True)))
+
+
+_ELEMENTS = "array<struct<index:bigint,key:string,path:string,value:variant,last:boolean>>"
+
+
+def _elements(v: Column, path: Column) -> Column:
+    """The elements of an array, or the entries of an object, with their paths; null for other values."""
+    def element(index: Column, key: Column, step: Column, value: Column) -> Column:
+        return F.struct(index.cast("long").alias("index"), key.cast("string").alias("key"), F.concat(path, step).alias("path"), value.alias("value"), F.lit(True).alias("last"))
+
+    items = F.transform(v.try_cast("array<variant>"), lambda e, i: element(i, F.lit(None), F.concat(F.lit("["), i, F.lit("]")), e))
+    dot = F.when(path == "", "").otherwise(".")
+    entries = F.transform(F.map_entries(v.try_cast("map<string,variant>")), lambda e: element(F.lit(None), e.key, F.concat(dot, e.key), e.value))
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), items).when(F.schema_of_variant(v).startswith("OBJECT"), entries)
+
+
+def _depth(json: Column) -> Column:
+    """How deep arrays and objects are nested in JSON text, from its brackets outside of strings."""
+    plain = F.replace(F.replace(json, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brackets = F.regexp_replace(F.regexp_replace(plain, '"[^"]*"', ""), "[^\\[\\]{}]+", "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        n = s.open + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(n.alias("open"), F.greatest(s.most, n).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step, lambda s: s.most)

@@ -76,6 +76,8 @@ DIALECT = {
                        f"SELECT event_id, 'k' AS key, {_NUM} AS n FROM events WHERE props IS NOT NULL"),
     "flatten_recursive": (plan(lambda t: O.lateral_flatten(t.events.select("event_id", F.concat(F.lit('{"a": [1, '), "props", F.lit("]}")).alias("doc")), "doc", recursive=True).groupBy("event_id").agg(F.count("*").alias("n"), F.max("path").alias("last"))),
                           "SELECT event_id, 4 AS n, 'a[1].k' AS last FROM events WHERE props IS NOT NULL"),
+    "flatten_nested": (plan(lambda t: O.lateral_flatten(t.events.select("event_id", F.concat(F.lit('{"p": '), "props", F.lit(', "tags": ["'), "event_type", F.lit('", '), "user_id", F.lit('], "u": '), "user_id", F.lit("}")).alias("doc")), "doc", recursive=True, outer=True).select("event_id", "path", "key", "index", "value")),
+                       "WITH e AS (SELECT event_id, replace(props, ' ', '') AS p, json_extract_string(props, '$.k') AS k, event_type AS t, CAST(user_id AS VARCHAR) AS u FROM events) SELECT event_id, x.path, x.key, CAST(x.index AS BIGINT) AS index, x.value FROM e, LATERAL (VALUES ('p', 'p', NULL, p), ('p.k', 'k', NULL, k), ('tags', 'tags', NULL, '[\"' || t || '\",' || u || ']'), ('tags[0]', NULL, 0, '\"' || t || '\"'), ('tags[1]', NULL, 1, u), ('u', 'u', NULL, u)) x(path, key, index, value) WHERE p IS NOT NULL AND t IS NOT NULL AND u IS NOT NULL UNION ALL SELECT event_id, NULL, NULL, NULL, NULL FROM e WHERE p IS NULL OR t IS NULL OR u IS NULL"),
     "array_agg_json": (plan(lambda t: t.nation.groupBy("n_regionkey").agg(X.array_agg("n_name", ["n_nationkey"]).alias("names"))), "SELECT n_regionkey, '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_nationkey) || ']' AS names FROM nation GROUP BY 1"),
     "object_agg_json": (plan(lambda t: t.nation.groupBy("n_regionkey").agg(X.object_agg("n_name", "n_nationkey", is_text=False).alias("keys"))), "SELECT n_regionkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS keys FROM nation GROUP BY 1"),
     "listagg_ordered": (plan(lambda t: t.nation.groupBy("n_regionkey").agg(X.listagg("n_name", ";", ["n_name"]).alias("names"))), "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names FROM nation GROUP BY 1"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import register
-from ..sources import copy_into, create_stage
+from ..sources import copy_into, create_stage, drop_stage
 from ..warehouse import Warehouse
 
 
@@ -115,6 +115,44 @@ def _show(w, t, _):
     return w.show_tables().select("name", "database_name", "schema_name", "kind")
 
 
+def _databases(w, t, read):
+    """A database for each region, a schema for each of its nations; one of them is dropped."""
+    for r in w.table(t).orderBy("r_regionkey").collect():
+        w.create_database(r.r_name)
+        w.use(database=r.r_name)
+        for n in read("nation").where(F.col("n_regionkey") == r.r_regionkey).collect():
+            w.create_schema(n.n_name)
+        w.drop_schema("PUBLIC")
+    w.drop_database("ASIA")
+    return w.show_schemas().where("database_name <> 'EMULATOR_DB'")
+
+
+def _iceberg(w, t, _):
+    w.create_table("lake", w.table(t).where("n_nationkey < 5"), kind="ICEBERG TABLE")
+    w.insert("lake", w.table(t).where("n_nationkey >= 20"))
+    return w.table("lake").join(w.show_tables().where("name = 'lake'").select("kind", "is_iceberg"), how="cross").select("n_nationkey", "n_name", "kind", "is_iceberg")
+
+
+def _drop_function(w, t, _):
+    w.create_function("grade", "x DOUBLE", "STRING", "'none'")
+    w.drop_function("grade")
+    w.drop_function("grade", if_exists=True)
+    w.create_function("grade", "x DOUBLE", "STRING", "CASE WHEN x > 5000 THEN 'high' WHEN x > 0 THEN 'low' END")
+    return w.spark.sql(f"SELECT c_custkey, grade(c_acctbal) AS grade FROM {t}")
+
+
+def _drop_stage(w, t, _):
+    for part, condition in (("a", "s_suppkey % 2 = 0"), ("b", "s_suppkey % 2 = 1")):
+        w.table(t).where(condition).select("s_suppkey", "s_name", "s_acctbal").write.parquet(f"{w.root}/{part}")
+    create_stage(w, "files", f"{w.root}/a")
+    w.create_table("loaded", w.table(t).select("s_suppkey", "s_name", "s_acctbal").where("false"))
+    copy_into(w, "loaded", "files", file_format="parquet")
+    drop_stage(w, "files")
+    create_stage(w, "files", f"{w.root}/b", or_replace=False)
+    copy_into(w, "loaded", "files", file_format="parquet")
+    return w.table("loaded")
+
+
 def _sql_functions(w, t, _):
     register(w.spark)
     return w.spark.sql(f"SELECT event_id, get_path(props, 'k') AS k, object_keys(props) AS keys, is_object(props) AS o, div0(value, event_id % 3) AS d, strtok(event_type, 'ae', 1) AS s, array_cat(to_array(props), '[1]') AS a FROM {t}")
@@ -139,5 +177,9 @@ STATEMENTS = {
     "context_fns": (_on("region", _context), "SELECT r_regionkey, 'EMULATOR_USER' AS \"current_user\", 'ACCOUNTADMIN' AS \"current_role\", 'EMULATOR_DB' AS \"current_database\", 'RAW' AS \"current_schema\", 'EMULATOR_WH' AS \"current_warehouse\" FROM region"),
     "describe": (_on("nation", _describe), "SELECT * FROM (VALUES ('n_nationkey', 'NUMBER(38,0)', 'COLUMN'), ('n_name', 'VARCHAR(16777216)', 'COLUMN'), ('n_regionkey', 'NUMBER(38,0)', 'COLUMN')) v(name, type, kind)"),
     "show_tables": (_on("nation", _show), "SELECT * FROM (VALUES ('t_nation', 'EMULATOR_DB', 'PUBLIC', 'TABLE'), ('small', 'EMULATOR_DB', 'PUBLIC', 'VIEW')) v(name, database_name, schema_name, kind)"),
+    "databases": (_on("region", _databases), "SELECT r_name AS database_name, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'"),
+    "iceberg_table": (_on("nation", _iceberg), "SELECT n_nationkey, n_name, 'ICEBERG TABLE' AS kind, 'Y' AS is_iceberg FROM nation WHERE n_nationkey < 5 OR n_nationkey >= 20"),
+    "drop_function": (_on("customer", _drop_function), "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'high' WHEN c_acctbal > 0 THEN 'low' END AS grade FROM customer"),
+    "drop_stage": (_on("supplier", _drop_stage), "SELECT s_suppkey, s_name, s_acctbal FROM supplier"),
     "sql_functions": (_on("events", _sql_functions), "SELECT event_id, json_extract_string(props, '$.k') AS k, '[\"k\"]' AS keys, true AS o, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value / (event_id % 3) END AS d, list_filter(regexp_split_to_array(event_type, '[ae]'), lambda x: x <> '')[1] AS s, '[' || replace(props, ' ', '') || ',1]' AS a FROM events"),
 }

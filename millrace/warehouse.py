@@ -1,8 +1,9 @@
 """Tables, views, sequences, stages, snapshots and metadata, over Spark's Parquet tables and temp views.
 
-A table is an immutable Parquet folder behind a temp view of its name. A statement that changes rows is one DataFrame
-expression over the version before; its result is written as the next version, then the view is moved to it. Older versions
-stay readable, so a snapshot is a copy of the dictionary of tables.
+A table is a set of immutable Parquet folders behind a temp view of its name. A statement that changes rows is one DataFrame
+expression over the version before; its result is written as the next version, then the view is moved to it. One that adds
+rows writes only these, beside the folders that are there; one that changes columns is a projection over the version before
+and writes nothing. Older versions stay readable, so a snapshot is a copy of the dictionary of tables.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-DEFAULT_ROOT = "file:///tmp/checkpoints"
+DEFAULT_ROOT = "file:///tmp/checkpoints"  # of local sessions without spark.checkpoint.dir
+_ACTION = "__action"
 
 
 class WarehouseError(RuntimeError):
@@ -26,6 +28,8 @@ class Table:
     frame: DataFrame
     kind: str = "TABLE"
     query: str | None = None  # of a dynamic table
+    base: DataFrame | None = None  # the rows before those in parts, if any
+    parts: tuple[str, ...] = ()  # folders of appended rows
 
 
 @dataclass
@@ -66,15 +70,26 @@ class Warehouse:
     _saved: dict[str, Table] | None = None
 
     def __post_init__(self) -> None:
-        base = self.root or self.spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_ROOT
+        base = self.root or self.spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise WarehouseError("spark.checkpoint.dir names no shared folder, and no root is given")
+            base = DEFAULT_ROOT
         self.root = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
     # tables
 
-    def _stored(self, name: str, rows: DataFrame) -> DataFrame:
+    def _written(self, name: str, rows: DataFrame) -> str:
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        return path
+
+    def _stored(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.spark.read.schema(rows.schema).parquet(self._written(name, rows))
+
+    def _version(self, name: str, rows: DataFrame, kind: str = "TABLE", query: str | None = None) -> DataFrame:
+        path = self._written(name, rows)
+        return self._set(name, Table(self.spark.read.schema(rows.schema).parquet(path), kind, query, parts=(path,)))
 
     def _set(self, name: str, table: Table) -> DataFrame:
         self.tables[name] = table
@@ -93,11 +108,11 @@ class Warehouse:
                 return self.table(name)
             raise WarehouseError(f"table {name} is there already")
         rows = source if isinstance(source, DataFrame) else self.spark.createDataFrame([], source)
-        return self._set(name, Table(self._stored(name, rows), kind))
+        return self._version(name, rows, kind)
 
     def attach(self, name: str, frame: DataFrame) -> DataFrame:
-        """A table of rows that are stored elsewhere; the first change makes a version of its own."""
-        return self._set(name, Table(frame))
+        """A table of rows that are stored elsewhere and stay there; the first change of rows makes a version of its own."""
+        return self._set(name, Table(frame, base=frame))
 
     def create_dynamic_table(self, name: str, query: str, or_replace: bool = False) -> DataFrame:
         """A table of a query's rows that refresh() brings up to date."""
@@ -109,7 +124,7 @@ class Warehouse:
         query = self.tables[name].query if name in self.tables else None
         if not query:
             raise WarehouseError(f"{name} is not a dynamic table")
-        return self._set(name, Table(self._stored(name, self.spark.sql(query)), "DYNAMIC TABLE", query))
+        return self._version(name, self.spark.sql(query), "DYNAMIC TABLE", query)
 
     def drop_table(self, name: str, if_exists: bool = False) -> None:
         if name not in self.tables and not if_exists:
@@ -119,20 +134,35 @@ class Warehouse:
 
     def _next(self, name: str, rows: DataFrame) -> DataFrame:
         old = self.tables[name]
-        return self._set(name, Table(self._stored(name, rows), old.kind, old.query))
+        return self._version(name, rows, old.kind, old.query)
+
+    def _projected(self, name: str, rows: DataFrame) -> DataFrame:
+        """The next version is these columns of the version before, or a part of its rows; nothing is written."""
+        old = self.tables[name]
+        return self._set(name, Table(rows, old.kind, old.query, base=rows))
+
+    def compact(self, name: str) -> DataFrame:
+        """The table rewritten as one folder, after many appends or changes of columns."""
+        return self._next(name, self.table(name))
 
     # rows
 
     def insert(self, name: str, rows: DataFrame, columns: Sequence[str] | None = None) -> int:
-        """Appends rows by position to these columns (by default all); others are null. How many."""
-        target = self.table(name)
+        """Appends rows by position to these columns (by default all); others are null. How many.
+
+        Only the new rows are written. Their number is that in the footers of the new files.
+        """
+        target, old = self.table(name), self.tables[name]
         columns = list(columns or target.columns)
         if len(rows.columns) != len(columns):
             raise WarehouseError("number of columns differs")
         given = dict(zip(columns, rows.columns, strict=True))
         new = rows.select(*((F.col(f"`{given[f.name]}`") if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema))
-        before = target.count()
-        return self._next(name, target.unionByName(new)).count() - before
+        path = self._written(name, new)
+        read, parts = self.spark.read.schema(target.schema), (*old.parts, path)
+        added = read.parquet(*parts)
+        self._set(name, Table(old.base.unionByName(added) if old.base is not None else added, old.kind, old.query, old.base, parts))
+        return read.parquet(path).count()
 
     def update(self, name: str, values: Mapping[str, str | Column], where: str | Column | None = None) -> int:
         """Sets columns on rows that meet the condition; rows on which it is null stay. How many."""
@@ -147,9 +177,8 @@ class Warehouse:
     def delete(self, name: str, where: str | Column | None = None) -> int:
         """Removes rows that meet the condition; rows on which it is null stay. How many."""
         target, met = self.table(name), self._met(where)
-        n = target.where(met).count()
-        self._next(name, target.where(~met))
-        return n
+        before = target.count()  # of stored rows both counts come from the files' footers
+        return before - self._next(name, target.where(~met)).count()
 
     @staticmethod
     def _met(where: str | Column | None) -> Column:
@@ -158,7 +187,7 @@ class Warehouse:
         return F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
 
     def truncate(self, name: str) -> None:
-        self._next(name, self.table(name).where("false"))
+        self._projected(name, self.table(name).where("false"))
 
     def merge(self, name: str, source: DataFrame, on: Sequence[str], update: Mapping[str, str] | None = None, insert: Mapping[str, str] | None = None,
               update_if: str = "true", delete_if: str | None = None, insert_if: str = "true") -> dict[str, int]:
@@ -166,7 +195,8 @@ class Warehouse:
 
         Matched rows that meet delete_if go, those that meet update_if are updated; source rows without a match that meet
         insert_if are inserted. A target row that several source rows match, and that is changed, is an error. Rows with a
-        null key match nothing.
+        null key match nothing. The result is written once, with what befell each row; deleted rows lose their cells and are left
+        out by a filter on that column.
         """
         target = self.table(name)
         t = target.withColumn("__t", F.lit(True)).alias("t")
@@ -177,9 +207,10 @@ class Warehouse:
         deletes = matched & self._met(delete_if) if delete_if else F.lit(False)
         updates = matched & ~deletes & self._met(update_if) if update else F.lit(False)
         inserts = F.col("t.__t").isNull() & self._met(insert_if) if insert else F.lit(False)
-        changed = source.groupBy(*on).count().where("count > 1").join(target, list(on), "left_semi")
-        if (update or delete_if) and changed.limit(1).count():
-            raise WarehouseError("several source rows match one target row")
+        if update or delete_if:
+            repeated = source.dropna(subset=list(on)).groupBy(*on).count().where("count > 1")
+            if not repeated.isEmpty() and not repeated.join(target, list(on), "left_semi").isEmpty():  # the second join only where keys repeat
+                raise WarehouseError("several source rows match one target row")
         cells = []
         for f in target.schema:
             old = F.col(f"t.{f.name}")
@@ -187,25 +218,27 @@ class Warehouse:
             put = F.expr(insert[f.name]).cast(f.dataType) if insert and f.name in insert else F.lit(None).cast(f.dataType)
             cells.append((new.when(inserts, put) if new is not None else F.when(inserts, put)).otherwise(old).alias(f.name))
         action = F.when(deletes, "deleted").when(updates, "updated").when(inserts, "inserted").when(F.col("t.__t").isNull(), "none").otherwise("kept")
-        rows = self._stored(name, joined.select(*cells, action.alias("__action")))
-        counts = {r["__action"]: r["count"] for r in rows.groupBy("__action").count().collect()}
-        self._next(name, rows.where("__action in ('updated', 'inserted', 'kept')").drop("__action"))
+        stays = f"`{_ACTION}` IN ('updated', 'inserted', 'kept')"
+        merged = joined.select(*cells, action.alias(_ACTION))
+        rows = self._stored(name, merged.select(*(F.when(F.expr(stays), F.col(f"`{c}`")).alias(c) for c in target.columns), _ACTION))
+        counts = {r[_ACTION]: r["count"] for r in rows.groupBy(_ACTION).count().collect()}  # five at most
+        self._projected(name, rows.where(stays).drop(_ACTION))
         return {k: counts.get(k, 0) for k in ("inserted", "updated", "deleted")}
 
     # columns
 
     def add_column(self, name: str, column: str, kind: str) -> None:
-        self._next(name, self.table(name).withColumn(column, F.lit(None).cast(kind)))
+        self._projected(name, self.table(name).withColumn(column, F.lit(None).cast(kind)))
 
     def drop_column(self, name: str, column: str) -> None:
         if column not in self.table(name).columns:
             raise WarehouseError(f"no column {column}")
-        self._next(name, self.table(name).drop(column))
+        self._projected(name, self.table(name).drop(column))
 
     def rename_column(self, name: str, old: str, new: str) -> None:
         if old not in self.table(name).columns:
             raise WarehouseError(f"no column {old}")
-        self._next(name, self.table(name).withColumnRenamed(old, new))
+        self._projected(name, self.table(name).withColumnRenamed(old, new))
 
     def rename_table(self, old: str, new: str) -> None:
         if new in self.tables:

@@ -59,3 +59,25 @@ def test_flatten_recursive_and_long(spark):
     assert rows(O.lateral_flatten(df, "doc", recursive=True).select("path", "value")) == [("a", '[1,{"b":2}]'), ("a[0]", "1"), ("a[1]", '{"b":2}'), ("a[1].b", "2")]
     long = spark.range(1).select(F.to_json(F.sequence(F.lit(1), F.lit(5000))).alias("doc"))
     assert O.lateral_flatten(long, "doc").count() == 5000
+
+
+def test_flatten_reads_its_input_once(spark, tmp_path):
+    spark.createDataFrame([(1, '{"a": [1, {"b": [2, []]}], "c": "}]\\\\\\"{["}'), (2, "7"), (3, "{}"), (4, None)], "id int, doc string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for outer in (False, True):
+        out = O.lateral_flatten(df, "doc", outer=outer, recursive=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
+        assert rows(out.where("path IS NOT NULL").select("id", "path", "value", "this")) == [
+            (1, "a", '[1,{"b":[2,[]]}]', '{"a":[1,{"b":[2,[]]}],"c":"}]\\\\\\"{["}'), (1, "a[0]", "1", '[1,{"b":[2,[]]}]'), (1, "a[1]", '{"b":[2,[]]}', '[1,{"b":[2,[]]}]'),
+            (1, "a[1].b", "[2,[]]", '{"b":[2,[]]}'), (1, "a[1].b[0]", "2", "[2,[]]"), (1, "a[1].b[1]", "[]", "[2,[]]"), (1, "c", '"}]\\\\\\"{["', '{"a":[1,{"b":[2,[]]}],"c":"}]\\\\\\"{["}')]
+        assert rows(out.where("path IS NULL").select("id")) == ([(2,), (3,), (4,)] if outer else [])
+
+
+def test_flatten_recursive_modes_and_depth(spark):
+    df = spark.createDataFrame([(1, '[{"x": [5]}, null]')], "id int, doc string")
+    assert rows(O.lateral_flatten(df, "doc", recursive=True, mode="ARRAY").select("path", "value")) == [("[0]", '{"x":[5]}'), ("[0].x[0]", "5"), ("[1]", "null")]
+    assert rows(O.lateral_flatten(df, "doc", recursive=True, mode="OBJECT", outer=True).select("path", "value")) == [("[0].x", "[5]")]
+    deep = spark.createDataFrame([("[" * 65 + "]" * 65,)], "doc string")
+    with pytest.raises(ValueError):
+        O.lateral_flatten(deep, "doc", recursive=True)

@@ -139,3 +139,37 @@ def test_names_and_metadata(w):
     assert "t" in {r.name for r in w.show_tables().collect()}
     w.information_schema()
     assert w.spark.sql("SELECT count(*) FROM information_schema_columns WHERE table_name = 't'").first()[0] == 2
+
+
+def test_appends_write_only_new_rows_and_column_changes_write_nothing(w):
+    make(w, "t", [(1, "a")], "id int, name string")
+    first = w.tables["t"].parts
+    assert w.insert("t", w.spark.createDataFrame([(2, "b"), (3, "c")], "id int, name string")) == 2
+    assert w.tables["t"].parts[:1] == first and len(w.tables["t"].parts) == 2
+    w.drop_column("t", "name")
+    w.add_column("t", "name", "string")
+    assert not w.tables["t"].parts and rows(w.table("t")) == [(1, None), (2, None), (3, None)]
+    assert w.insert("t", w.table("t").select("id"), ["id"]) == 3
+    assert w.insert("t", w.spark.createDataFrame([], "x int"), ["id"]) == 0
+    assert w.delete("t", "id = 3") == 2 and rows(w.table("t")) == [(1, None), (1, None), (2, None), (2, None)]
+    w.insert("t", w.spark.createDataFrame([(9, "z")], "id int, name string"))
+    w.compact("t")
+    assert len(w.tables["t"].parts) == 1 and w.table("t").count() == 5
+
+
+def test_an_attached_table_stays_as_it_is(w, tmp_path):
+    w.spark.range(3).write.parquet(f"{tmp_path}/t")
+    w.attach("t", w.spark.read.parquet(f"{tmp_path}/t"))
+    w.begin()
+    assert w.insert("t", w.spark.range(2)) == 2 and w.table("t").count() == 5
+    w.rollback()
+    assert w.table("t").count() == 3 and w.spark.read.parquet(f"{tmp_path}/t").count() == 3
+
+
+def test_merge_writes_once(w):
+    make(w, "t", [(1, "a"), (2, "b"), (3, "c")], "id int, value string")
+    source = w.spark.createDataFrame([(1, "x"), (2, "y"), (8, "n"), (9, "m"), (9, "m")], "id int, value string")
+    n = w.merge("t", source, ["id"], update={"value": "s.value"}, insert={"id": "s.id", "value": "s.value"}, delete_if="s.value = 'y'", insert_if="s.id = 9")
+    assert n == {"inserted": 2, "updated": 1, "deleted": 1}  # source rows that repeat and match nothing are no error
+    assert rows(w.table("t")) == [(1, "x"), (3, "c"), (9, "m"), (9, "m")] and w.table("t").columns == ["id", "value"]
+    assert w.insert("t", source.where("id = 8")) == 1 and w.table("t").count() == 5
