@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines are compared by their words (lower case; runs of white space part them). Equal lines are copies. Lines of LEAST_WORDS
-words or more are also copies if they are one edit apart: one word put in place of another, added or left out. Each line
+words or more (a parameter) are also copies if they are one edit apart: one word put in place of another, added or left out.
+The edit bound is thus an eighth of a line at most: in shorter ones a word makes another statement of them. Each line
 emits, as hashed keys, itself and every line that leaving out one of its words gives; lines that share a key are joined, the
 edit distance is verified on the words, and of a line and its earlier copies the earliest stays. Earlier means a smaller
 document id, then a smaller line number.
@@ -64,12 +65,12 @@ class Lines:
     def hashes(self) -> np.ndarray:
         return mix(self.spans(self.first[:-1], self.first[1:]) + self.n.astype(np.uint64))
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Four keys of each line, and which line: its first and its last half, for its own length and for one less."""
+    def halves(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Four keys of each line of least words or more, and which line: its first and its last half, for its own length and for one less."""
         keys, own = [], []
         for less in (0, 1):
             length = self.n - less
-            half, at = length // 2, np.flatnonzero(self.n >= LEAST_WORDS)
+            half, at = length // 2, np.flatnonzero(self.n >= least)
             a, b = self.first[:-1][at], self.first[1:][at]
             tag = length[at].astype(np.uint64) * np.uint64(2)
             keys += [mix(self.spans(a, a + half[at]) ^ mix(tag)), mix(self.spans(b - half[at], b) ^ mix(tag + np.uint64(1)))]
@@ -90,22 +91,28 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches, "text"):
-        lines = Lines(piece.column(1))
-        keys, own = lines.halves()
-        order = np.argsort(own, kind="stable")
-        halves = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[order], np.arange(len(lines.n) + 1)), pa.int32()), pa.array(keys[order].view(np.int64)))
-        yield _batch(id=piece.column(0).take(pa.array(lines.text)), line=lines.number, h=lines.hashes().view(np.int64), n=lines.n, halves=halves)
+def _scan(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text"):
+            lines = Lines(piece.column(1))
+            keys, own = lines.halves(least)
+            order = np.argsort(own, kind="stable")
+            halves = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[order], np.arange(len(lines.n) + 1)), pa.int32()), pa.array(keys[order].view(np.int64)))
+            yield _batch(id=piece.column(0).take(pa.array(lines.text)), line=lines.number, h=lines.hashes().view(np.int64), n=lines.n, halves=halves)
 
+    return run
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches, "text"):
-        lines = Lines(piece.column(1))
-        own = np.flatnonzero(lines.n >= LEAST_WORDS)
-        at = np.repeat(lines.first[own], lines.n[own]) + np.arange(int(lines.n[own].sum())) - np.repeat(np.cumsum(lines.n[own]) - lines.n[own], lines.n[own])
-        ends = np.concatenate(([0], np.cumsum(lines.n[own])))
-        yield _batch(h=lines.hashes()[own].view(np.int64), words=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lines.words[at].view(np.int64))))
+
+def _words(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text"):
+            lines = Lines(piece.column(1))
+            own = np.flatnonzero(lines.n >= least)
+            at = np.repeat(lines.first[own], lines.n[own]) + np.arange(int(lines.n[own].sum())) - np.repeat(np.cumsum(lines.n[own]) - lines.n[own], lines.n[own])
+            ends = np.concatenate(([0], np.cumsum(lines.n[own])))
+            yield _batch(h=lines.hashes()[own].view(np.int64), words=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lines.words[at].view(np.int64))))
+
+    return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,20 +133,34 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(key=np.concatenate([key, lines.hashes()]).view(np.int64), at=pa.array(np.concatenate([at, np.full(len(lines.n), -1)]), pa.int32()), h=part.column(0).take(pa.array(own)), first=part.column(2).take(pa.array(own)))
 
 
-def one_edit(a: list, b: list) -> bool:
-    """Whether the lists are equal or one substitution, insertion or deletion apart."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
+def _agreeing(x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, m: np.ndarray, step: int) -> np.ndarray:
+    """How many of the m words from x0 in x and y0 in y on, forwards or backwards, are equal before the first that differ."""
+    out, some = m.copy(), np.flatnonzero(m)
+    size = m[some]
+    ends = np.cumsum(size)
+    row = np.repeat(some, size)
+    k = np.arange(len(row)) - np.repeat(ends - size, size)
+    equal = x[x0[row] + step * k] == y[y0[row] + step * k]
+    if len(some):
+        out[some] = np.minimum.reduceat(np.where(equal, m[row], k), ends - size)
+    return out
+
+
+def one_edit(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether the lists of a row in a and b are equal or one substitution, insertion or deletion apart: but for one word, the longer is their common head and tail."""
+    (x, i), (y, j) = ((c.flatten().to_numpy(), c.offsets.to_numpy().astype(np.int64)) for c in (a, b))
+    i, j = i - i[0], j - j[0]
+    n, o = np.diff(i), np.diff(j)
+    m = np.minimum(n, o)
+    head = _agreeing(x, y, i[:-1], j[:-1], m, 1)
+    tail = _agreeing(x, y, i[1:] - 1, j[1:] - 1, m, -1)
+    return (abs(n - o) <= 1) & (head + tail >= np.maximum(n, o) - 1)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [one_edit(a, b) for a, b in zip(batch.column("words").to_pylist(), batch.column("words2").to_pylist(), strict=True)]
-        yield batch.filter(pa.array(ok, pa.bool_())).select(["h", "partner"])
+        if batch.num_rows:
+            yield batch.filter(pa.array(one_edit(batch.column("words"), batch.column("words2")))).select(["h", "partner"])
 
 
 def _shuffled(df: DataFrame) -> DataFrame:
@@ -147,20 +168,25 @@ def _shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each line that an earlier one is a copy of: doc_id, line_no (from 0), first_doc_id, first_line_no (the earliest copy), edits (0 or 1)."""
+def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """A row for each line that an earlier one is a copy of: doc_id, line_no (from 0), first_doc_id, first_line_no (the earliest copy), edits (0 or 1).
+
+    Lines of fewer than least_words words (2 at least) are copies only of equal ones.
+    """
+    if least_words < 2:
+        raise ValueError(f"least_words: {least_words}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    lines = saved(rows.mapInArrow(_scan, "id bigint, line bigint, h bigint, n bigint, halves array<bigint>"), "lines")
+    lines = saved(rows.mapInArrow(_scan(least_words), "id bigint, line bigint, h bigint, n bigint, halves array<bigint>"), "lines")
     place = F.struct("id", "line")
     unique = saved(lines.groupBy("h", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("halves").alias("halves")), "unique-lines")
 
-    half = unique.where(f"n >= {LEAST_WORDS}").select("h", F.explode("halves").alias("half"))
+    half = unique.where(f"n >= {least_words}").select("h", F.explode("halves").alias("half"))
     common = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
     partners = half.join(_shuffled(saved(common, "common-halves")), "half", "left_semi").select("h").distinct()
     able = saved(unique.select("h", "first").join(_shuffled(saved(partners, "partners")), "h", "left_semi"), "lines-with-partners")
     owners = small_side(saved(able.select(F.col("first.id").alias("id")).distinct(), "owners"))
     texts = rows.join(owners.withColumnRenamed("id", "owner"), F.col("id").eqNullSafe(F.col("owner")), "left_semi")
-    worded = texts.mapInArrow(_words, "h bigint, words array<bigint>").join(small_side(able), "h").groupBy("h").agg(F.any_value("words").alias("words"), F.min("first").alias("first"))
+    worded = texts.mapInArrow(_words(least_words), "h bigint, words array<bigint>").join(small_side(able), "h").groupBy("h").agg(F.any_value("words").alias("words"), F.min("first").alias("first"))
     worded = saved(worded, "worded-lines")
 
     keys = saved(worded.select("h", "words", "first").mapInArrow(_keys, "key bigint, at int, h bigint, first struct<id:bigint,line:bigint>"), "deletion-keys")

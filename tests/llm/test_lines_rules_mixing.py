@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -30,13 +31,14 @@ def one_edit(a, b):
     return row[-1] <= 1
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("ab"), max_size=6), st.lists(st.sampled_from("ab"), max_size=6))
-def test_one_edit(a, b):
-    assert ld.one_edit(a, b) == one_edit(a, b)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(*[st.lists(st.integers(0, 1), max_size=6)] * 2), min_size=1, max_size=8), st.integers(0, 3))
+def test_one_edit(pairs, skip):
+    a, b = (pa.array([p[k] for p in pairs], pa.list_(pa.int64())).slice(min(skip, len(pairs) - 1)) for k in (0, 1))
+    assert ld.one_edit(a, b).tolist() == [one_edit(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
 
 
-def brute_lines(rows):
+def brute_lines(rows, least=ld.LEAST_WORDS):
     key = lambda p: (p[0] is not None, p[0] or 0, p[1])
     lines = [(i, k, tuple(WORD.findall(lower(line)))) for i, t, _ in rows for k, line in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if x[2]]
@@ -46,9 +48,9 @@ def brute_lines(rows):
     near = {}
     for w, p in first.items():
         near[w] = p, 0
-        if len(w) >= ld.LEAST_WORDS:
+        if len(w) >= least:
             for v, q in first.items():
-                if len(v) >= ld.LEAST_WORDS and v != w and abs(len(v) - len(w)) < 2 and key(q) < key(near[w][0]) and one_edit(v, w):
+                if len(v) >= least and v != w and abs(len(v) - len(w)) < 2 and key(q) < key(near[w][0]) and one_edit(v, w):
                     near[w] = q, 1
     return sorted(((i, k, *near[w][0], near[w][1]) for i, k, w in lines if key((i, k)) > key(near[w][0])), key=str)
 
@@ -68,6 +70,10 @@ def test_lines_against_all_pairs(make):
         rows.append((i * 7 % 61, "\n".join(text), "s"))
     got = sorted(map(tuple, ld.copies(make(rows)).collect()), key=str)
     assert got == brute_lines(rows) and any(r[-1] for r in got)
+    short = sorted(map(tuple, ld.copies(make(rows), least_words=2).collect()), key=str)
+    assert short == brute_lines(rows, 2) and sum(r[-1] for r in short) > sum(r[-1] for r in got)
+    with pytest.raises(ValueError):
+        ld.copies(make(rows), least_words=1)
 
 
 def test_lines_of_odd_and_empty_tables(odd, none):
