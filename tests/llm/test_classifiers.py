@@ -44,6 +44,14 @@ def test_sample_is_bounded_and_leaves_out_held_out_rows(spark):
     assert learnt == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(4000))
 
 
+def test_sample_of_long_texts_is_bounded_by_their_length(spark):
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id"), F.lit(" "), F.repeat(F.lit("x"), 1000)).alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
+    some = _training.labelled(texts, labels, "label", 1000, most_chars=100_000)
+    assert 60 < some.count() < 140 and some.where("length(text) < 1000").count() == 0
+    assert _training.labelled(texts, labels, "label", 1000).count() == 400
+
+
 def test_presence_counts_whole_texts_once():
     column = pa.array(["abcabc", "", "xabcx", "é" * 4], pa.large_string())
     every = np.ones(1 << toxicity.BITS, dtype=bool)
