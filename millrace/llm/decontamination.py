@@ -10,7 +10,8 @@ A document is contaminated by an item if an overlap has MATCHES equal tokens, or
 Tokens are runs of letters and digits, lower case; punctuation and white space part them.
 
 The benchmark's hashes go to every task. Their size is bounded: a benchmark of more than CHUNK_TOKENS tokens is taken in
-chunks below that bound, one pass over the documents for each: benchmarks are small beside a corpus.
+chunks below that bound, one pass over the documents for each, whose overlaps are written before the next: benchmarks are
+small beside a corpus.
 
 Defined cases: null and empty texts have no tokens, so they are never contaminated and contaminate nothing; items of fewer
 than LEAST_TOKENS tokens are left out, as chance brings them; rows with a null item_id count as an item without a name;
@@ -209,12 +210,19 @@ def _chunks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[lis
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item that overlap: doc_id, item_id, doc_start, item_start, length, matched (in tokens)."""
     spark, rows, out = docs.sparkSession, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), None
+    last = None  # the chunk that is not written yet: its broadcast, and the overlaps with it
     for ids, texts in _chunks(benchmark, item_id, item_text):
         index = Index(ids, pa.array(texts, pa.large_string()))
         if len(index.h):
-            found = rows.mapInArrow(_finder(spark.sparkContext.broadcast(index)), _SCHEMA)
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], _SCHEMA)
+            if last:  # of several chunks one at a time is in memory
+                found = saved(last[1], "overlaps")
+                last[0].destroy()
+                out = found if out is None else out.unionByName(found)
+            shared = spark.sparkContext.broadcast(index)
+            last = shared, rows.mapInArrow(_finder(shared), _SCHEMA)
+    if not last:
+        return spark.createDataFrame([], _SCHEMA)
+    return last[1] if out is None else out.unionByName(last[1])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
