@@ -32,6 +32,14 @@ def _events(t):
     return t.events.select("event_id", "props", X.get_path("props", "k").alias("k"))
 
 
+def _nested(t):
+    """event_id, user_id and doc: {"p": props, "tags": [type, user]} as JSON text."""
+    return t.events.select("event_id", "user_id", F.concat(F.lit('{"p": '), "props", F.lit(', "tags": ["'), "event_type", F.lit('", '), "user_id", F.lit("]}")).alias("doc"))
+
+
+_HAS_DOC = "CASE WHEN props IS NOT NULL AND event_type IS NOT NULL AND user_id IS NOT NULL THEN"
+
+
 def _strings(t):
     name = F.col("p_name")
     return t.part.select("p_partkey", X.split(name, " ").alias("words"), X.strtok(name, " ", 2).alias("second"), X.charindex("a", name).alias("at"), X.reverse(name).alias("back"), X.lpad(name, 12, "*").alias("left"), X.rpad("p_brand", 12, ".").alias("right"),
@@ -83,6 +91,12 @@ DIALECT = {
     "listagg_ordered": (plan(lambda t: t.nation.groupBy("n_regionkey").agg(X.listagg("n_name", ";", ["n_name"]).alias("names"))), "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names FROM nation GROUP BY 1"),
     "json_get_path": (plan(lambda t: _events(t).select("event_id", "k", X.get("props", "k").alias("same"), X.object_keys("props").alias("keys"), X.parse_json("props").alias("doc"))),
                       "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS same, '[\"k\"]' AS keys, replace(props, ' ', '') AS doc FROM events"),
+    "bracket_access": (plan(lambda t: _nested(t).select("event_id", X.get(X.get("doc", "p"), "k").alias("k"), X.get(X.get("doc", "tags"), 0).alias("tag"), X.get(X.get("doc", "tags"), F.col("event_id") % 2 + 1).alias("odd"))),
+                       f"SELECT event_id, {_HAS_DOC} json_extract_string(props, '$.k') END AS k, {_HAS_DOC} event_type END AS tag, {_HAS_DOC} CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END END AS odd FROM events"),
+    "variant_path": (plan(lambda t: _nested(t).select("event_id", F.try_parse_json("doc").alias("v")).selectExpr("event_id", "v:p.k::bigint AS k", "v:tags[0]::string AS tag", "v:tags[1]::bigint AS user", "v:none.at::string AS missing")),
+                     f"SELECT event_id, {_HAS_DOC} {_NUM} END AS k, {_HAS_DOC} event_type END AS tag, {_HAS_DOC} user_id END AS \"user\", CAST(NULL AS VARCHAR) AS missing FROM events"),
+    "json_rows": (plan(lambda t: t.nation.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("line"))),
+                  "SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS line FROM nation"),
     "json_types": (plan(lambda t: t.events.select("event_id", X.typeof("props").alias("t"), X.typeof(X.get_path("props", "k")).alias("kt"), X.typeof("event_type").alias("et"), X.is_object("props").alias("o"), X.is_array("props").alias("a"), X.is_integer(X.get_path("props", "k")).alias("i"), X.is_decimal("event_type").alias("d"), X.is_boolean(F.lit("true")).alias("b"), X.is_null_value(F.lit("null")).alias("n"))),
                    "SELECT event_id, 'OBJECT' AS t, 'INTEGER' AS kt, 'VARCHAR' AS et, true AS o, false AS a, true AS i, false AS d, true AS b, true AS n FROM events WHERE props IS NOT NULL"),
     "json_convert": (plan(lambda t: t.events.select("event_id", X.to_variant("event_type").alias("v"), X.to_array("props").alias("a"), X.to_object("props").alias("o"), X.to_object("event_type").alias("none"), X.try_parse_json("event_type").alias("bad"))),

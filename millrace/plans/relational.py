@@ -51,6 +51,12 @@ RELATIONAL = {
                   "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "join_cross": (plan(lambda t: t.region.crossJoin(t.nation.select("n_name"))), "SELECT r_regionkey, r_name, n_name FROM region CROSS JOIN nation"),
     "join_theta": (plan(lambda t: t.nation.join(t.region, F.col("n_regionkey") < F.col("r_regionkey")).select("n_nationkey", "r_regionkey")), "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey < r_regionkey"),
+    "join_using": (plan(lambda t: t.customer.select(F.col("c_nationkey").alias("k"), "c_acctbal").join(t.supplier.select(F.col("s_nationkey").alias("k")).distinct(), "k").groupBy("k").agg(F.count("*").alias("n"), F.max("c_acctbal").alias("most"))),
+                   "SELECT k, count(*) AS n, max(c_acctbal) AS most FROM (SELECT c_nationkey AS k, c_acctbal FROM customer) c JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) s USING (k) GROUP BY k"),
+    "join_natural": (plan(lambda t: t.spark.sql("SELECT r_name, n_name FROM {n} NATURAL JOIN {r}", n=t.nation.select("n_name", F.col("n_regionkey").alias("k")), r=t.region.select(F.col("r_regionkey").alias("k"), "r_name"))),
+                     "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "values_join": (plan(lambda t: t.orders.join(t.spark.sql("SELECT * FROM VALUES ('F', 'filled'), ('O', 'open') AS v(o_orderstatus, label)"), "o_orderstatus", "left").groupBy("o_orderstatus", "label").agg(F.count("*").alias("n"))),
+                    "SELECT o_orderstatus, label, count(*) AS n FROM orders LEFT JOIN (VALUES ('F', 'filled'), ('O', 'open')) v(o_orderstatus, label) USING (o_orderstatus) GROUP BY 1, 2"),
     "agg_distinct": (plan(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.min("l_shipdate").alias("first"), F.max("l_quantity").alias("most"))),
                      "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, min(l_shipdate) AS first, max(l_quantity) AS most FROM lineitem GROUP BY 1"),
     "agg_having": (plan(lambda t: t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 15")), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 15"),
